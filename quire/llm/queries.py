@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import dedup, host_rules, mixing, packing, sharding
+from . import dedup, host_rules, jaccard, mixing, packing, sharding
 
 QUERIES = {
     "op1_cost_packing": packing.op1_cost_packing,
     "op5_poisson_mixing": mixing.op5_poisson_mixing,
+    "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op7_exact_dedup": dedup.op7_exact_dedup,
     "op9_jump_sharding": sharding.op9_jump_sharding,
     "op10_host_rules": host_rules.op10_host_rules,
 }
 
-SQL = {"op5_poisson_mixing": mixing.OP5_SQL, "op7_exact_dedup": dedup.OP7_SQL, "op10_host_rules": host_rules.OP10_SQL}
+SQL = {"op5_poisson_mixing": mixing.OP5_SQL, "op6_ngram_jaccard": jaccard.OP6_SQL, "op7_exact_dedup": dedup.OP7_SQL, "op10_host_rules": host_rules.OP10_SQL}
