@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import dedup, host_rules, jaccard, mixing, packing, sharding
+from . import dedup, host_rules, jaccard, lm, mixing, packing, sharding
 
 QUERIES = {
     "op1_cost_packing": packing.op1_cost_packing,
+    "op3_deleted_interpolation": lm.op3_deleted_interpolation,
     "op5_poisson_mixing": mixing.op5_poisson_mixing,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op7_exact_dedup": dedup.op7_exact_dedup,
