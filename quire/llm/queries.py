@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import dedup, host_rules, jaccard, lm, mixing, packing, sharding
+from . import dedup, host_rules, jaccard, lm, mixing, packing, quality, sharding
 
 QUERIES = {
     "op1_cost_packing": packing.op1_cost_packing,
+    "op2_quadratic_discriminant": quality.op2_quadratic_discriminant,
     "op3_deleted_interpolation": lm.op3_deleted_interpolation,
     "op5_poisson_mixing": mixing.op5_poisson_mixing,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
