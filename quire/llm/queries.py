@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup, host_rules, jaccard, lm, mixing, packing, quality, sharding
+from . import dedup, host_rules, jaccard, lm, mixing, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_cost_packing": packing.op1_cost_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_poisson_mixing": mixing.op5_poisson_mixing,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op7_exact_dedup": dedup.op7_exact_dedup,
+    "op8_recurrent_toxicity": toxicity.op8_recurrent_toxicity,
     "op9_jump_sharding": sharding.op9_jump_sharding,
     "op10_host_rules": host_rules.op10_host_rules,
 }
