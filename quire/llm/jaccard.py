@@ -4,11 +4,14 @@
 2. Vertices that share a min-hash band are compared with few others of their band; the verified
    links partition the vertices into groups of similar documents.
 3. Every set is put in one order, rare shingles first (by a frequency sketch of fixed size, then by
-   hash; any fixed order is right). Two sets that link share at least min(l, l') shingles among
-   their first |x| - ceil(t |x|) + l ones. The token-group matrix holds, for each of these shingles,
-   the groups in whose union it is. The number of shingles two groups share there bounds the
-   overlap of any of their members, so only pairs of groups that reach it are opened.
-4. Members of opened groups are compared by their whole sets.
+   hash; any fixed order is right). If x and y link and |x| <= |y|, the first
+   |x| - ceil(2t / (1 + t) |x|) + l shingles of x and the first |y| - ceil(t |y|) + l of y have l in
+   common, where l is 1 + |x| div EXTRA. The token-group matrix holds, for each of these shingles, the
+   groups in whose union it is; the number of shingles that two groups share there bounds the overlap
+   of any of their members, and only pairs of groups that reach it are opened.
+4. A group is opened in bins of its members. A bin has the union of its members' whole sets; a query
+   that overlaps it too little is passed over, others are counted against all members at once. As a
+   group is connected, one link of a query with it is enough.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ from .shingles import BAND, MINHASHES, SIGNED, digests, linker, sets_of, setter,
 from .words import blocks
 
 #: One in so many shingles is added to the prefix, and asked for in common.
-EXTRA = 25
+EXTRA = 100
 #: Rows of a table of keys that may be broadcast (about 20 MB).
 BROADCAST_ROWS = 500_000
 #: Most cells of the frequency sketch (a byte each, sent to every worker).
 MOST_BITS = 26
 PART_ROWS = 400_000
+#: Members in a bin of an opened group, and queries that meet one copy of the bin.
+BIN, QUERIES = 256, 2_000
 
 
 def fetch(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -44,7 +49,8 @@ def fetch(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def matrix_rows(n: int, num: int, den: int, bits: int, codes: bytes, parts: int):
-    """The matrix of rows (vid, gid, text) in sorted runs: part, tokens, gids, sizes."""
+    """The matrix of rows (vid, gid, text) in sorted runs: part, tokens, gids, sizes (below 0 for shingles
+    that count only where the document is the larger one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(codes, np.uint8)
@@ -58,6 +64,7 @@ def matrix_rows(n: int, num: int, den: int, bits: int, codes: bytes, parts: int)
             order = np.lexsort((grams, level[(grams >> np.uint64(64 - bits)).astype(np.int64)], doc))
             rank = np.arange(len(doc)) - begins[:-1][doc]
             keep = (rank < prefix_size(sizes, num, den)[doc]) & ok
+            first = (rank < prefix_size(sizes, 2 * num, num + den)[doc])[keep]
             tokens, owner = grams[order][keep], doc[keep]
             gids = block.rows.column("gid").to_numpy(zero_copy_only=False)[owner]
             order = np.argsort(tokens)
@@ -65,7 +72,7 @@ def matrix_rows(n: int, num: int, den: int, bits: int, codes: bytes, parts: int)
             part = ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
             ends = np.r_[cut[1:], len(part)]
-            small = sizes[owner].astype(np.int32)
+            small = np.where(first[order], sizes[owner], -sizes[owner]).astype(np.int32)
             columns = [[a[i:j].tobytes() for i, j in zip(cut, ends, strict=True)] for a in (tokens, gids, small)]
             yield pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["part", "tokens", "gids", "sizes"])
 
@@ -87,15 +94,20 @@ def matrix_pairs(num: int, den: int):
         order = np.lexsort((gids, tokens))
         tokens, gids, sizes = tokens[order], gids[order], sizes[order]
         head = np.flatnonzero(np.r_[True, (tokens[1:] != tokens[:-1]) | (gids[1:] != gids[:-1])])
-        low, high = np.minimum.reduceat(sizes, head), np.maximum.reduceat(sizes, head)
+        n = np.abs(sizes)
+        low, high = np.minimum.reduceat(n, head), np.maximum.reduceat(n, head)
+        # the smallest member for which the shingle counts as the smaller document of a pair
+        least = np.minimum.reduceat(np.where(sizes > 0, n, np.iinfo(np.int32).max), head)
         tokens, gids = tokens[head], gids[head]
         run = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         length = np.diff(np.r_[run, len(tokens)])
+        end = np.repeat(run + length, length)
+        at = np.arange(len(tokens))
         for d in range(1, int(length.max())):
             # each row with the one d places on in its run
-            at = np.flatnonzero(np.repeat(run + length, length) > np.arange(len(tokens)) + d)
+            at = at[end[at] > at + d]
             to = at + d
-            fit = (den * high[at] >= num * low[to]) & (den * high[to] >= num * low[at])
+            fit = (den * high[at] >= num * low[to]) & (den * high[to] >= num * low[at]) & ((least[at] <= high[to]) | (least[to] <= high[at]))
             yield gids[at[fit]], gids[to[fit]]
 
     def counted(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -136,13 +148,81 @@ def verified(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int, num
     """The pairs (a, b) of vertices whose whole sets link."""
     pairs = staged(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("vid")).union(pairs.select(F.col("b").alias("vid"))).distinct()
-    keys = vertices.join(needed, "vid").select("doc_id", "vid")
-    sets = fetch(docs, keys).select("vid", "text").mapInArrow(setter(n), "vid long, set binary").dropDuplicates(["vid"])
-    sets = staged(sets, "sets")
+    sets = staged(_sets(docs, vertices, needed, n), "sets")
     full = pairs.join(sets.select(F.col("vid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("vid").alias("b"), F.col("set").alias("set_b")), "b")
     return staged(full.mapInArrow(linker(num, den), "a long, b long, linked boolean").where("linked").select("a", "b"), "verified")
 
 
+def opened_links(docs: DataFrame, labelled: DataFrame, opened: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between members of the opened pairs of groups (a, b): each member of the smaller group
+    is a query to the bins of the larger one."""
+    opened = staged(opened, "opened")
+    members = labelled.select("gid", "vid")
+    count = labelled.groupBy("gid").agg(F.count("*").alias("members"))
+    sized = opened.join(count.select(F.col("gid").alias("a"), F.col("members").alias("na")), "a").join(count.select(F.col("gid").alias("b"), F.col("members").alias("nb")), "b")
+    turned = F.col("na") > F.col("nb")
+    asked = sized.select(F.when(turned, F.col("a")).otherwise(F.col("b")).alias("target"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("gid"), F.greatest("na", "nb").alias("members"))
+    queries = asked.join(members, "gid").select("target", "vid", F.ceil(F.col("members") / BIN).alias("bins"))
+    queries = staged(queries, "queries")
+    targets = queries.groupBy("target").agg(F.max("bins").alias("bins"), F.ceil(F.count("*") / QUERIES).alias("copies"))
+    held = targets.join(members.withColumnRenamed("gid", "target"), "target")
+    bin_ = lambda column, of: F.pmod(F.xxhash64("vid", F.lit(column)), F.col(of)).cast("int").alias(column)
+    every = lambda column, of: F.explode(F.sequence(F.lit(0), F.col(of).cast("int") - 1)).alias(column)
+    held = held.select("target", bin_("bin", "bins"), every("copy", "copies"), F.lit(False).alias("query"), "vid")
+    queries = queries.join(targets.select("target", "copies"), "target").select("target", bin_("copy", "copies"), every("bin", "bins"), F.lit(True).alias("query"), "vid")
+    rows = held.unionByName(queries)
+    sets = staged(_sets(docs, labelled, rows.select("vid").distinct(), n), "opened-sets")
+    full = rows.join(sets, "vid").repartition("target", "bin", "copy").sortWithinPartitions("target", "bin", "copy", "query")
+    return staged(full.select("target", "bin", "copy", "query", "vid", "set").mapInArrow(opener(num, den), "a long, b long"), "opened-links")
+
+
+def opener(num: int, den: int):
+    """Links of queries with the members of a bin: rows come by target, bin and copy, members before queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, vids, sets, union, owners, begins, sizes = None, [], [], None, None, None, None
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            columns = [batch.column(c).to_pylist() for c in ("target", "bin", "copy", "query", "vid")]
+            for k, (*key, query, vid) in enumerate(zip(*columns, strict=True)):
+                if key != now:
+                    now, vids, sets, union = key, [], [], None
+                own = np.frombuffer(batch.column("set")[k].as_buffer(), np.uint64)
+                if not query:
+                    vids.append(vid)
+                    sets.append(own.copy())
+                    continue
+                if union is None:
+                    if not sets:
+                        continue
+                    sizes = np.array([len(x) for x in sets])
+                    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                    order = np.argsort(tokens, kind="stable")
+                    tokens, owners = tokens[order], owner[order]
+                    begins = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+                    union, begins = tokens[begins], np.r_[begins, len(tokens)]
+                at = np.minimum(np.searchsorted(union, own), len(union) - 1)
+                at = at[union[at] == own]
+                if den * len(at) < num * len(own):
+                    continue
+                length = begins[at + 1] - begins[at]
+                flat = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(begins[at], length)
+                common = np.bincount(owners[flat], minlength=len(sets))
+                linked = np.flatnonzero(den * common >= num * (len(own) + sizes - common))
+                if len(linked):
+                    found[0].append(vid)
+                    found[1].append(vids[linked[0]])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+
+    return run
+
+
+def _sets(docs: DataFrame, vertices: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+    """vid, set of the vertices in needed."""
+    keys = vertices.join(needed, "vid").select("doc_id", "vid")
+    return fetch(docs, keys).select("vid", "text").mapInArrow(setter(n), "vid long, set binary").dropDuplicates(["vid"])
+
+
 def band_pairs(vertices: DataFrame, most: int = 500) -> DataFrame:
     """Candidates (a, b): each vertex with the first of its bands' buckets, and with the one before it by
     size, in parts of about `most` vertices of a bucket. Only similar signatures pass."""
@@ -196,11 +276,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     bound = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     least = labelled.groupBy("gid").agg(F.min(1 + F.floor(F.col("n_shingles") / EXTRA)).alias("l"))
     opened = bound.join(least.select(F.col("gid").alias("a"), F.col("l").alias("la")), "a").join(least.select(F.col("gid").alias("b"), F.col("l").alias("lb")), "b").where("shared >= least(la, lb)").select("a", "b")
-    members = labelled.select("gid", "vid", "n_shingles")
-    pairs = opened.join(members.select(F.col("gid").alias("a"), F.col("vid").alias("va"), F.col("n_shingles").alias("na")), "a")
-    pairs = pairs.join(members.select(F.col("gid").alias("b"), F.col("vid").alias("vb"), F.col("n_shingles").alias("nb")), "b")
-    pairs = pairs.where(f"{den} * na >= {num} * nb and {den} * nb >= {num} * na").select(F.col("va").alias("a"), F.col("vb").alias("b"))
-    more_links = verified(docs, vertices, pairs, n, num, den)
+    more_links = opened_links(docs, labelled, opened, n, num, den)
 
     final = components(first_links.unionByName(more_links))
     rooted = vertices.select("vid", "s2", F.col("doc_id").alias("least_doc")).join(final.withColumnRenamed("v", "vid"), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
