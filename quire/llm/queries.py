@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import dedup, host_rules, jaccard, lm, mixing, packing, quality, sharding, toxicity
+from . import dedup, host_rules, jaccard, licenses, lm, mixing, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_cost_packing": packing.op1_cost_packing,
     "op2_quadratic_discriminant": quality.op2_quadratic_discriminant,
     "op3_deleted_interpolation": lm.op3_deleted_interpolation,
+    "op4_license_paragraphs": licenses.op4_license_paragraphs,
     "op5_poisson_mixing": mixing.op5_poisson_mixing,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op7_exact_dedup": dedup.op7_exact_dedup,
