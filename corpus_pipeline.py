@@ -1,11 +1,86 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, exact dedup, near dedup, mixing, packing.
+
+Each stage is (spark, docs, sf_dir) -> DataFrame over all rows of docs. All but the last return
+docs' columns. Rows are told apart by doc_id and text, so repeated doc_ids do no harm.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm.dedup import dedup_exact
+from quire.llm.jaccard import BROADCAST_ROWS, jaccard_components, text_hash
+from quire.llm.mixing import replicate, shuffled
+from quire.llm.packing import pack_documents, with_digests
+from quire.llm.quality import with_quality
+from quire.runtime import staged
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, mark: Column) -> DataFrame:
+    """The rows of docs whose doc_id and mark (an expression of docs) are in kept (doc_id, mark, repeats);
+    of rows that agree in both (repeats > 1), one."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    chosen = kept.select(key.alias("_key"), F.col("mark").alias("_mark"), "repeats")
+    marked = docs.withColumns({"_key": key, "_mark": mark})
+
+    def rows(side: DataFrame) -> DataFrame:
+        small = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        return marked.join(F.broadcast(side) if small else side, ["_key", "_mark"], "left_semi")
+
+    once, more = chosen.where("repeats = 1").drop("repeats"), chosen.where("repeats > 1").drop("repeats")
+    found = rows(once).drop("_key", "_mark")
+    if more.isEmpty():
+        return found.select(*docs.columns)
+    return found.unionByName(rows(more).dropDuplicates(["_key", "_mark"]).drop("_key", "_mark")).select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the discriminant does not reject (score of at least 0.3)."""
+    return with_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1").select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id."""
+    found = staged(dedup_exact(docs), "exact")
+    each = found.groupBy("doc_id", F.col("text_sha256").alias("mark")).agg(F.count("*").alias("repeats"), F.max("kept").alias("kept"))
+    return keep_rows(docs, each.where("kept"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by a Jaccard similarity of at least 0.8 over five-word shingles, the one with the smallest doc_id."""
+    found = staged(jaccard_components(docs, n=5, num=80, den=100), "near")
+    each = found.groupBy("doc_id", F.col("text_hash").alias("mark"), "group_id").agg(F.count("*").alias("repeats"))
+    first = each.groupBy("group_id").agg(F.min(F.struct("doc_id", "mark", "repeats")).alias("x")).where("group_id is not null").select("x.*")
+    alone = each.where("group_id is null").drop("group_id")
+    return keep_rows(docs, first.unionByName(alone), text_hash(F.col("text")))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of documents so that sources have bytes in proportion to the root of their own, dealt out globally."""
+    return shuffled(replicate(docs)).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
+    return with_digests(pack_documents(docs))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality),
+    ("exact_dedup", exact),
+    ("ngram_jaccard", near),
+    ("source_mixing", mixing),
+    ("packing", packing),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
