@@ -107,7 +107,10 @@ def matrix_pairs(num: int, den: int):
             # each row with the one d places on in its run
             at = at[end[at] > at + d]
             to = at + d
-            fit = (den * high[at] >= num * low[to]) & (den * high[to] >= num * low[at]) & ((least[at] <= high[to]) | (least[to] <= high[at]))
+            fit = (den * high[at] >= num * low[to]) & (den * high[to] >= num * low[at])
+            # of two of one size, both count as the smaller
+            equal = ((least[at] == high[to]) & (least[to] <= high[at])) | ((least[to] == high[at]) & (least[at] <= high[to]))
+            fit &= (least[at] < high[to]) | (least[to] < high[at]) | equal
             yield gids[at[fit]], gids[to[fit]]
 
     def counted(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
