@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -42,6 +42,10 @@ PART_ROWS = 400_000
 BIN, QUERIES = 256, 2_000
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fetch(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """keys (doc_id, ...) with the texts of docs; a small table of keys goes to the texts, a large one is shuffled."""
     small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -244,7 +248,8 @@ def band_pairs(vertices: DataFrame, most: int = 500) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+    """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links),
+    group_id (a number of the component; null for a text without words), text_hash (of the text).
 
     Words are runs of characters other than 0x20 and 0x09-0x0D, with A-Z lower-cased; a document's set
     is its distinct n-word shingles, or its whole sequence if it has fewer words. Two documents link if
@@ -253,10 +258,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     Empty input: no rows. Only doc_id and text are read. Shingles and sets are told apart by 64-bit
     and 128-bit hashes.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash(F.col("text")).alias("text_hash"))
     bits = min(MOST_BITS, max(16, math.ceil(math.log2(16 * max(1, docs.count())))))
     signed = staged(docs.mapInArrow(signer(n, bits), SIGNED), "signed")
-    told = signed.where("cells is null").select("doc_id", "n_shingles", "s1", "s2", "sig")
+    told = signed.where("cells is null").select("doc_id", "text_hash", "n_shingles", "s1", "s2", "sig")
     some = told.where("n_shingles > 0")
     vertices = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     vertices = staged(vertices.withColumnRenamed("s1", "vid"), "vertices")
@@ -283,10 +288,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 
     final = components(first_links.unionByName(more_links))
     rooted = vertices.select("vid", "s2", F.col("doc_id").alias("least_doc")).join(final.withColumnRenamed("v", "vid"), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least_doc").alias("component_id")), "root").select(F.col("vid").alias("s1"), "s2", "component_id")
-    joined = told.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least_doc").alias("component_id")), "root").select(F.col("vid").alias("s1"), "s2", "component_id", "root")
+    joined = told.select("doc_id", "text_hash", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
     alone = F.col("n_shingles") == 0
-    return joined.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return joined.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(~alone, F.col("root")).alias("group_id"), "text_hash")
 
 
 def _with_broadcast(n, num, den, bits, shared_codes, parts):
@@ -297,7 +302,7 @@ def _with_broadcast(n, num, den, bits, shared_codes, parts):
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
 OP6_SQL = r"""

@@ -53,16 +53,16 @@ def digests(grams: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mix(s1).view(np.int64), s2.view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, sig array<int>, cells binary"
+SIGNED = "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, sig array<int>, cells binary"
 
 
 def signer(n: int, bits: int):
-    """Rows of doc_id, n_shingles, s1, s2, sig (min-hashes); at the end of a partition, rows of cells:
+    """Rows of doc_id, text_hash, n_shingles, s1, s2, sig (min-hashes); at the end of a partition, rows of cells:
     its counts of shingles by their first `bits` bits, s1 telling which slice of the cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
-        names = ["doc_id", "n_shingles", "s1", "s2", "sig", "cells"]
+        names = ["doc_id", "text_hash", "n_shingles", "s1", "s2", "sig", "cells"]
         for block in blocks(batches):
             grams, begins = sets_of(block, n)
             counts += np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
@@ -70,13 +70,13 @@ def signer(n: int, bits: int):
             sig = minhashes(grams, begins).view(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(block.n + 1, dtype=np.int32) * MINHASHES), pa.array(sig.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [block.rows.column("doc_id"), pa.array(np.diff(begins)), pa.array(s1), pa.array(s2), lists, pa.nulls(block.n, pa.binary())], names
+                [block.rows.column("doc_id"), block.rows.column("text_hash"), pa.array(np.diff(begins)), pa.array(s1), pa.array(s2), lists, pa.nulls(block.n, pa.binary())], names
             )
         for k, part in enumerate(np.split(counts, max(1, len(counts) >> SLICE_BITS))):
             if part.any():
                 packed = pa.compress(part.tobytes(), codec="zstd", asbytes=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([packed], pa.binary())], names
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([packed], pa.binary())], names
                 )
 
     return run
