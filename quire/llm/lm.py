@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from quire.runtime import staged
 
-from .words import Block, blocks, hashes, lower_ascii, mix, spans
+from .words import Block, hashes, lower_ascii, mix, spans
+from .words import blocks as blocks_of
 
 #: The end of a document, as a word's hash; it is also the context of a document's first word.
 END = np.uint64(0x452821E638D01377)
@@ -40,6 +41,11 @@ ROWS = "kind int, part long, block long, a binary, b binary, c binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Smaller blocks than usual: besides them a worker holds the vocabulary."""
+    return blocks_of(batches, most=2 << 20)
+
+
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each document, each followed by END; where each document begins (one more at the end)."""
     data = lower_ascii(block.data)
@@ -311,7 +317,7 @@ def gather(total: int):
     return run
 
 
-def lm_scores(docs: DataFrame, held_out: Column, slices: int = 16, part_rows: int = 2_500_000, max_vocab: int = 8_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column, slices: int = 16, part_rows: int = 1_500_000, max_vocab: int = 8_000_000) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows where held_out is false. Tokens: words (runs of characters other than 0x20 and
