@@ -20,6 +20,7 @@ from quire.runtime import staged
 from .words import Block, blocks, hashes, lower_ascii, spans, windows
 
 FEATURES = ("words", "word_length", "symbols", "upper", "shouts", "stops", "digits", "repeats", "variety", "lines", "repeated_lines", "foreign", "bars", "stutter")
+BLOCK = 1 << 20
 _CLASSES = {"symbols": b"#*$%&<>@^~=+\\{}[]_", "shouts": b"!?", "stops": b".,;:", "digits": b"0123456789", "bars": b"|", "newline": b"\n"}
 _TABLES = {k: np.isin(np.arange(256), list(v)).astype(np.uint8) for k, v in _CLASSES.items()}
 _TABLES["upper"] = ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint8)
@@ -75,7 +76,7 @@ def statistics(block: Block) -> np.ndarray:
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     d = len(FEATURES)
-    for block in blocks(batches):
+    for block in blocks(batches, most=BLOCK):
         flat = pa.array(statistics(block).reshape(-1))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(block.n + 1, dtype=np.int32) * d), flat)
         yield pa.RecordBatch.from_arrays([block.rows.column("doc_id"), block.rows.column("held_out"), lists], ["doc_id", "held_out", "x"])
@@ -171,7 +172,7 @@ def with_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     model = docs.sparkSession.sparkContext.broadcast(fit(described.where(~F.col("held_out")).join(known, "doc_id").select("label", "x")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, most=BLOCK):
             made = model.value.score(statistics(block))
             rows_ = block.rows.select([c for c in block.rows.schema.names if c not in ("score", "predicted")])
             yield pa.RecordBatch.from_arrays([*rows_.columns, pa.array(made), pa.array((made >= threshold).astype(np.int32))], [*rows_.schema.names, "score", "predicted"])

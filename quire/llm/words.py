@@ -7,6 +7,7 @@ text longer than a block forms a block of its own, and hashes inside it are made
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,7 +63,10 @@ class Block:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Slices of the batches of at most `most` bytes of text, or a single longer text. Null counts as empty."""
+    """Slices of the batches of at most `most` bytes of text, or a single longer text. Null counts as empty.
+
+    Memory that was freed goes back to the system after each batch: Python workers outlive their tasks.
+    """
     for batch in batches:
         texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
         if isinstance(texts, pa.ChunkedArray):
@@ -76,6 +80,26 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = min(to, len(texts))
             yield Block(batch.slice(at, to - at), whole[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
             at = to
+        del batch, texts, whole
+        trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if _LIBC:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        found = ctypes.CDLL(None)
+        found.malloc_trim  # noqa: B018
+    except (OSError, AttributeError):
+        return None
+    return found
+
+
+_LIBC = _libc()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
