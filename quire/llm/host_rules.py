@@ -62,7 +62,7 @@ def measured(docs: DataFrame, host: str = "source", text: str = "text") -> DataF
     return rows.select("doc_id", "host", *(c.cast("long").alias(k) for k, c in columns.items()))
 
 
-def host_verdicts(metrics: DataFrame, most_rate: float = 0.5, symbols_per_word: float = 0.5, dup_lines_per_word: float = 0.2) -> DataFrame:
+def host_verdicts(metrics: DataFrame, most_rate: float = 0.5, symbols_per_word: float = 0.1, dup_lines_per_word: float = 0.2) -> DataFrame:
     """metrics with base_failed, rule_failed, host_docs, host_rate and kept.
 
     base_failed: under 10 words, or over a fifth of the words in repeated windows. rule_failed: that,
@@ -113,7 +113,7 @@ m AS (
   FROM d LEFT JOIN r USING (doc_id)),
 f AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-         n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols > 0.5 * n_words OR n_dup_lines > 0.2 * n_words AS rule_failed
+         n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols > 0.1 * n_words OR n_dup_lines > 0.2 * n_words AS rule_failed
   FROM m),
 h AS (SELECT host, count(*) AS host_docs, sum(rule_failed::INT) AS fails FROM f GROUP BY host),
 q AS (SELECT avg(fails / host_docs) AS m, coalesce(var_samp(fails / host_docs), 0) AS v FROM h),
