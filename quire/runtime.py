@@ -21,6 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL_DIRS[app]}"
 
 
+def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Lower the session's Arrow batches to at most `rows` rows: texts are long, and both the JVM and the
+    Python workers hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage so that lost executors
     cost a reread, and lets several consumers use one computation. Removed when the JVM ends."""
