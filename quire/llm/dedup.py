@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.runtime import staged
+from quire.runtime import bound_batches, staged
 
 from .words import Block, blocks
 
@@ -127,6 +127,7 @@ def dedup_exact(docs: DataFrame, chunk_chars: int = 1 << 20, primes: tuple[int,
     texts that share a fingerprint move. Their keys are broadcast up to broadcast_rows (about 40 MB
     at the default) and joined by a shuffle beyond. primes: smaller values cause collisions (tests).
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumns({"text_sha256": F.sha2("text", 256), "n_bytes": F.octet_length("text").cast("long")})
     table = staged(fingerprint_table(rows, chunk_chars, primes).withColumn("rid", F.monotonically_increasing_id()), "fingerprints")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quire.runtime import staged
+from quire.runtime import bound_batches, staged
 
 from .components import components
 from .shingles import BAND, MINHASHES, SIGNED, digests, linker, sets_of, setter, signer, summed_cells
@@ -258,6 +258,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     Empty input: no rows. Only doc_id and text are read. Shingles and sets are told apart by 64-bit
     and 128-bit hashes.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash(F.col("text")).alias("text_hash"))
     bits = min(MOST_BITS, max(16, math.ceil(math.log2(16 * max(1, docs.count())))))
     signed = staged(docs.mapInArrow(signer(n, bits), SIGNED), "signed")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.runtime import bound_batches
+
 from .gru import trimmed
 from .words import blocks, hashes, lower_ascii, mix, spans
 
@@ -247,6 +249,7 @@ def license_scan(docs: DataFrame, least: float = 0.5, least_similarity: float =
     Documents without such wording, and null, empty or blank texts, have no rows; repeated rows have
     theirs each. 'unknown' is never confirmed. Empty input: no rows. Only doc_id and text are read.
     """
+    bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(classifier())
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scanner(model, least, least_similarity), SCHEMA)
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.runtime import staged
+from quire.runtime import bound_batches, staged
 
 from .words import Block, hashes, lower_ascii, mix, spans
 from .words import blocks as blocks_of
@@ -327,6 +327,7 @@ def lm_scores(docs: DataFrame, held_out: Column, slices: int = 16, part_rows: in
     doc_id and text (and what held_out reads) are read. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(~held_out, F.lit(True)).alias("train"))
     vocab = staged(rows.select("text", "train").where("train").mapInArrow(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")
     size, total = vocab.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quire.runtime import bound_batches
+
 END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: A block of pieces that are packed together: at most so many tokens and pieces.
@@ -131,6 +133,7 @@ def pack_documents(docs: DataFrame, size: int = 2048, json_path: str | None = No
     """
     json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_packer(size, str(json_path), str(ranks_path)), SCHEMA)
 

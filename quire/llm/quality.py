@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.runtime import staged
+from quire.runtime import bound_batches, staged
 
 from .words import Block, blocks, hashes, lower_ascii, spans, windows
 
@@ -149,6 +149,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     label, 0.5 without any. Repeated rows get equal scores. Empty input: no rows. Only doc_id and text
     are read.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out_rows())
     described = staged(rows.mapInArrow(describe, "doc_id long, held_out boolean, x array<double>"), "statistics")
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
@@ -166,6 +167,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 def with_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """docs with score and predicted, as quality_scores gives them, row by row and without a join."""
+    bound_batches(docs.sparkSession)
     rows = docs.withColumn("held_out", held_out_rows())
     described = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out").mapInArrow(describe, "doc_id long, held_out boolean, x array<double>")
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))

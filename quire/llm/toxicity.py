@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.runtime import bound_batches
+
 from .gru import CHAR_ROWS, WINDOW, WORD_ROWS, Network, Trainer, Words, distinct_words, trimmed, window_table
 from .quality import held_out_rows
 from .words import Block, blocks, lower_ascii, mix, spans
@@ -163,6 +165,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     Repeated rows get equal scores. Empty input: no rows. Only doc_id and text are read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out_rows())
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out_rows())
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
