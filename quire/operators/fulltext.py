@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quire.functions.common import let
 from quire.functions.text import passes_gate, segments
 
 K1, B = 1.2, 0.75
@@ -13,9 +14,8 @@ K1, B = 1.2, 0.75
 
 def trigrams(text: Column) -> Column:
     """Distinct runs of three characters, lower-cased."""
-    low = F.lower(text)
-    made = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3)))
-    return F.when(F.length(low) >= 3, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+    made = let(F.split(F.lower(text), ""), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))))
+    return F.when(F.length(text) >= 3, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
 def postings(pages: DataFrame) -> DataFrame:
