@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,3 +81,13 @@ def synthetic_crops(pages: DataFrame, seed: int, per_page: int = 1) -> DataFrame
         "x": u("x") * (1 - F.col("w")), "y": u("y") * (1 - F.col("h")), "area_ratio": F.col("w") * F.col("h"),
         "edge": F.floor(F.lit(320) + u("edge") * 581), "brightness": F.floor(u("light") * 51) - 25, "quality": F.floor(F.lit(70) + u("quality") * 21),
     }).drop("_w", "_h")
+
+
+def report(ranked: DataFrame, log: DataFrame) -> str:
+    """The figures of an evaluation as JSON: quality by size class, latency by stage, calibration, first misses."""
+    rows = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731 - each has a few rows
+    parts = {
+        "quality": rows(quality(ranked).orderBy("bucket")), "latency": rows(stage_latency(log).orderBy("stage")), "calibration": rows(calibration(log).orderBy("kind")),
+        "suggested_threshold": suggested_threshold(log), "misses": [r["query_id"] for r in first_misses(ranked).collect()],
+    }
+    return json.dumps(parts, indent=2)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -96,3 +96,9 @@ def backfill_ocr(pages: DataFrame, files: DataFrame, ocr: DataFrame, recognize:
         read = claimed.select("page_id").join(recognize(claimed), "page_id", "left").select("page_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(now).cast("long").alias("ocr_at"), F.lit(0).alias("seq"))
         ocr, after = cut(upsert_ocr(ocr, read)), top
     return ocr.unionByName(orphan_pages(pages, files, ocr, now).select(*ocr.columns))
+
+
+def start_rescan(spark: SparkSession, scan: Callable[[], None], checkpoint: str, seconds: int = 1800):
+    """Starts a query that calls scan every so many seconds; a scan that takes longer delays the next one."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, __: scan()).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()

@@ -118,3 +118,30 @@ def test_settings(tmp_path):
     with pytest.raises(ValueError):
         Settings(worker_threads=0)
     assert os.path.exists(path)
+
+
+def test_page_payload(spark):
+    from quire.sources.pages import page_payload
+
+    files = spark.createDataFrame([(1, bytes(range(200)) * 20), (2, b""), (3, None)], "file_id long, content binary")
+    got = {r.file_id: r for r in page_payload(files).collect()}
+    assert {r.status for r in got.values()} == {"ok"} and len(got[1].pages) == 1 and not got[2].pages and not got[3].pages
+    regions = got[1].pages[0].regions
+    assert [(r.kind, r.idx) for r in regions] == [("full", 0), *(("tile", i) for i in range(9))] and all(len(r.vector) == 64 for r in regions)
+
+    def broken(content):
+        raise ValueError
+
+    assert {r.status for r in page_payload(files, broken).collect()} == {"error: ValueError"}
+    pages, made = store.insert_pages(page_payload(files).select("file_id", "pages"), 10, 100)
+    assert [r.id for r in pages.collect()] == [11] and sorted(r.id for r in made.collect()) == list(range(101, 111))
+
+
+def test_report(spark, sf):
+    import json
+
+    from quire.plans.views import Views
+
+    v = Views(spark, sf)
+    made = json.loads(evaluate.report(v.ranked, v.search_log))
+    assert {q["bucket"] for q in made["quality"]} == {evaluate.SMALL, evaluate.MEDIUM, evaluate.LARGE, "overall"} and len(made["latency"]) == 5 and made["misses"][0] == 0

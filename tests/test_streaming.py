@@ -69,3 +69,15 @@ def test_uploads(spark):
     assert rows.where("id = 4").select(query_size(F.col("width"), F.col("height")).alias("s")).first().s == (1600, 900)
     vectors = encoded(rows, "id", "body").collect()
     assert len(vectors) == 4 and len(vectors[0].vector) == 64
+
+
+def test_rescan(spark, tmp_path):
+    import time
+
+    calls = []
+    query = S.start_rescan(spark, lambda: calls.append(1), f"{tmp_path}/cp", seconds=1)
+    until = time.time() + 30
+    while len(calls) < 2 and time.time() < until:
+        time.sleep(0.2)
+    query.stop()
+    assert len(calls) >= 2
