@@ -62,26 +62,28 @@ def measured(docs: DataFrame, host: str = "source", text: str = "text") -> DataF
     return rows.select("doc_id", "host", *(c.cast("long").alias(k) for k, c in columns.items()))
 
 
-def host_verdicts(metrics: DataFrame, most_rate: float = 0.5, symbols_per_word: float = 0.1, dup_lines_per_word: float = 0.2) -> DataFrame:
+def host_verdicts(metrics: DataFrame, most_rate: float = 0.5, symbols_per_word: float = 0.1, dup_lines_per_word: float = 0.2, most_broadcast: int = 100_000) -> DataFrame:
     """metrics with base_failed, rule_failed, host_docs, host_rate and kept.
 
     base_failed: under 10 words, or over a fifth of the words in repeated windows. rule_failed: that,
     or more than symbols_per_word symbols or dup_lines_per_word repeated lines a word. host_rate: the
     host's share of rule_failed, shrunk by a beta prior that has the mean and variance of the hosts'
     shares (where these don't differ, the prior's mean). kept: not rule_failed, and host_rate is at
-    most most_rate. Hosts hold few columns of counts, and hot hosts are summed before the shuffle.
+    most most_rate. Hosts hold few columns of counts, and hot hosts are summed before the shuffle. Up to
+    most_broadcast hosts (a few MB) go to the documents; more are joined by a shuffle that can split hot ones.
     """
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     own = base | (F.col("n_symbols") > symbols_per_word * F.col("n_words")) | (F.col("n_dup_lines") > dup_lines_per_word * F.col("n_words"))
     rows = metrics.withColumns({"base_failed": base, "rule_failed": own})
-    hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("rule_failed").cast("long")).alias("fails"))
+    hosts = staged(rows.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("rule_failed").cast("long")).alias("fails")), "hosts")
     rate = F.col("fails") / F.col("host_docs")
     prior = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v")).first()
     m, v = prior["m"] or 0.0, prior["v"] or 0.0
     strength = max(m * (1 - m) / v - 1, 1e-3) if v > 0 else 1e12
     shrunk = (F.col("fails") + m * strength) / (F.col("host_docs") + strength)
     hosts = hosts.select("host", "host_docs", F.round(shrunk, 6).alias("host_rate"))
-    return rows.join(hosts, "host").withColumn("kept", ~F.col("rule_failed") & (F.col("host_rate") <= most_rate))
+    few = hosts.limit(most_broadcast + 1).count() <= most_broadcast
+    return rows.join(F.broadcast(hosts) if few else hosts, "host").withColumn("kept", ~F.col("rule_failed") & (F.col("host_rate") <= most_rate))
 
 
 def host_rules(docs: DataFrame, host: str = "source", text: str = "text", most_rate: float = 0.5) -> DataFrame:
