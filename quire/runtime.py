@@ -21,13 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL_DIRS[app]}"
 
 
-def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Lower the session's Arrow batches to at most `rows` rows: texts are long, and both the JVM and the
-    Python workers hold whole batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)
+#: Rows of texts that a worker, the JVM or a Parquet reader should hold at once.
+TEXT_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Lower the session's Arrow and Parquet batches to at most `rows` rows: texts are long, and the JVM, its
+    column vectors and the Python workers hold whole batches."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        now = int(spark.conf.get(key))
+        if now <= 0 or now > rows:
+            spark.conf.set(key, rows)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
