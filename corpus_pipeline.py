@@ -19,22 +19,25 @@ from quire.llm.quality import with_quality
 from quire.runtime import staged
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, mark: Column) -> DataFrame:
-    """The rows of docs whose doc_id and mark (an expression of docs) are in kept (doc_id, mark, repeats);
-    of rows that agree in both (repeats > 1), one."""
+def chosen_rows(docs: DataFrame, rows: DataFrame, mark: Column) -> DataFrame:
+    """docs without the rows that rows (doc_id, mark, repeats, kept) tell to drop, by doc_id and mark (an
+    expression of docs); of rows that agree in both and are kept (repeats > 1), one stays.
+
+    The rows to drop are fewer than those to keep, so they are what moves (or is broadcast).
+    """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    chosen = kept.select(key.alias("_key"), F.col("mark").alias("_mark"), "repeats")
+    told = rows.select(key.alias("_key"), F.col("mark").alias("_mark"), "repeats", "kept")
     marked = docs.withColumns({"_key": key, "_mark": mark})
 
-    def rows(side: DataFrame) -> DataFrame:
-        small = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        return marked.join(F.broadcast(side) if small else side, ["_key", "_mark"], "left_semi")
+    def side(some: DataFrame) -> DataFrame:
+        some = some.select("_key", "_mark")
+        return F.broadcast(some) if some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else some
 
-    once, more = chosen.where("repeats = 1").drop("repeats"), chosen.where("repeats > 1").drop("repeats")
-    found = rows(once).drop("_key", "_mark")
+    more = told.where("kept and repeats > 1")
+    found = marked.join(side(told.where("not kept or repeats > 1")), ["_key", "_mark"], "left_anti").drop("_key", "_mark").select(*docs.columns)
     if more.isEmpty():
-        return found.select(*docs.columns)
-    return found.unionByName(rows(more).dropDuplicates(["_key", "_mark"]).drop("_key", "_mark")).select(*docs.columns)
+        return found
+    return found.unionByName(marked.join(side(more), ["_key", "_mark"], "left_semi").dropDuplicates(["_key", "_mark"]).select(*docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,16 +49,18 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id."""
     found = staged(dedup_exact(docs), "exact")
     each = found.groupBy("doc_id", F.col("text_sha256").alias("mark")).agg(F.count("*").alias("repeats"), F.max("kept").alias("kept"))
-    return keep_rows(docs, each.where("kept"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    return chosen_rows(docs, each, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a Jaccard similarity of at least 0.8 over five-word shingles, the one with the smallest doc_id."""
     found = staged(jaccard_components(docs, n=5, num=80, den=100), "near")
     each = found.groupBy("doc_id", F.col("text_hash").alias("mark"), "group_id").agg(F.count("*").alias("repeats"))
-    first = each.groupBy("group_id").agg(F.min(F.struct("doc_id", "mark", "repeats")).alias("x")).where("group_id is not null").select("x.*")
-    alone = each.where("group_id is null").drop("group_id")
-    return keep_rows(docs, first.unionByName(alone), text_hash(F.col("text")))
+    first = staged(each.where("group_id is not null").groupBy("group_id").agg(F.min(F.struct("doc_id", "mark")).alias("first")), "near-first")
+    told = each.join(first, "group_id", "left").withColumn("kept", F.col("first").isNull() | F.struct("doc_id", "mark").eqNullSafe(F.col("first")))
+    # texts without words are alone: all of them stay
+    told = told.where("not (group_id is null)").select("doc_id", "mark", "repeats", "kept")
+    return chosen_rows(docs, told, text_hash(F.col("text")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quire.runtime import bound_batches, staged
 
-from .words import Block, hashes, lower_ascii, mix, spans
+from .words import Block, hashes, lower_ascii, mix, spans, tidy
 from .words import blocks as blocks_of
 
 #: The end of a document, as a word's hash; it is also the context of a document's first word.
@@ -348,8 +348,8 @@ def lm_scores(docs: DataFrame, held_out: Column, slices: int = 16, part_rows: in
     hot_keys, hot_logs = (spark.sparkContext.broadcast(x[order]) for x in (turned(keys), logs))
     parts = max(1, math.ceil(total / part_rows))
     shipped = rows.mapInArrow(ship(vocabulary, hot_keys, hot_logs, total, parts), ROWS)
-    answered = shipped.repartition("part").sortWithinPartitions("part").mapInArrow(answer(vocabulary, weights, total, parts), ROWS)
-    return answered.repartition("block").sortWithinPartitions("block").mapInArrow(gather(total), RESULT)
+    answered = shipped.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(answer(vocabulary, weights, total, parts)), ROWS)
+    return answered.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(gather(total)), RESULT)
 
 
 def explode_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

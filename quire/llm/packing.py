@@ -24,26 +24,32 @@ from tokenizers import Tokenizer
 
 from quire.runtime import bound_batches
 
+from .words import tidy
+
 END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: A block of pieces that are packed together: at most so many tokens and pieces.
-BLOCK_TOKENS, BLOCK_PIECES = 2_000_000, 40_000
+BLOCK_TOKENS, BLOCK_PIECES = 500_000, 40_000
 _SPECIAL = "<|endoftext|>"
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, cost double, ids binary"
 
 
 @functools.cache
-def _encoders(json_path: str, ranks_path: str):
+def _fast(ranks_path: str):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
     fast = tiktoken.Encoding(ranks_path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return fast.encode_ordinary, Tokenizer.from_file(json_path)
+    return fast.encode_ordinary
+
+
+@functools.cache
+def _exact(json_path: str) -> Tokenizer:
+    return Tokenizer.from_file(json_path)
 
 
 def token_ids(text: str, json_path: str, ranks_path: str) -> np.ndarray:
     """The JSON tokenizer's ids of a text, then END_ID. The ranks file is the same vocabulary for a
     faster library; a text with the special token's string goes to the JSON tokenizer itself."""
-    fast, exact = _encoders(json_path, ranks_path)
-    ids = exact.encode(text, add_special_tokens=False).ids if _SPECIAL in text else fast(text)
+    ids = _exact(json_path).encode(text, add_special_tokens=False).ids if _SPECIAL in text else _fast(ranks_path)(text)
     ids.append(END_ID)
     return np.array(ids, dtype="<u4")
 
@@ -121,7 +127,7 @@ def _packer(size: int, json_path: str, ranks_path: str):
         if out:
             yield taken()
 
-    return run
+    return tidy(run)
 
 
 def pack_documents(docs: DataFrame, size: int = 2048, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:

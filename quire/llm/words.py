@@ -8,14 +8,14 @@ text longer than a block forms a block of its own, and hashes inside it are made
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 SPAN = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -90,6 +90,16 @@ def trim() -> None:
         _LIBC.malloc_trim(0)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, followed by trim."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return tidied
+
+
 def _libc():
     try:
         found = ctypes.CDLL(None)
