@@ -14,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = staged(links.select("a", "b").where("a <> b").distinct(), "links")
     before = None
     while True:
-        edges = _star(edges, large=True)
+        edges = staged(_star(edges, large=True), "large-stars")
         edges = staged(_star(edges, large=False).distinct(), "stars")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
@@ -29,7 +29,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not large:
         both = both.where("b < a")
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # written first, so that the join has plain shuffles on both sides and can split a hot vertex
+    low = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "lowest")
     joined = both.join(low, "a")
     if large:
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

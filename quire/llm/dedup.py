@@ -133,7 +133,8 @@ def dedup_exact(docs: DataFrame, chunk_chars: int = 1 << 20, primes: tuple[int,
     table = staged(fingerprint_table(rows, chunk_chars, primes).withColumn("rid", F.monotonically_increasing_id()), "fingerprints")
     group = ["h1", "h2", "n_bytes"]
     me = F.struct("doc_id", "rid", "text_sha256")
-    sized = table.join(table.groupBy(*group).agg(F.count("*").alias("n"), F.max(me).alias("best")), group)
+    # written first, so that the join has plain shuffles on both sides and can split a hot group
+    sized = table.join(staged(table.groupBy(*group).agg(F.count("*").alias("n"), F.max(me).alias("best")), "groups"), group)
     alone = sized.where("n = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     pending = sized.where("n > 1").select(*table.columns, "best")
     settled = None
@@ -145,7 +146,7 @@ def dedup_exact(docs: DataFrame, chunk_chars: int = 1 << 20, primes: tuple[int,
         if left.isEmpty():
             break
         pending = left.join(left.groupBy(*group).agg(F.max(me).alias("best")), group)
-    sizes = settled.groupBy(F.col("best.rid").alias("keep_rid")).agg(F.count("*").alias("group_size"))
+    sizes = staged(settled.groupBy(F.col("best.rid").alias("keep_rid")).agg(F.count("*").alias("group_size")), "sizes")
     copies = settled.withColumn("keep_rid", F.col("best.rid")).join(sizes, "keep_rid").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256"
     )
@@ -164,6 +165,7 @@ def _compared(rows: DataFrame, pending: DataFrame, chunk_chars: int, broadcast_r
     first = pending.select(F.coalesce("best.doc_id", F.lit(-(1 << 63)).cast("long")).alias("key"), F.col("best.text_sha256").alias("text_sha256"), *group).distinct()
     mine = chunked(texts.join(side(who), ["key", "text_sha256"]), chunk_chars)
     best = chunked(texts.join(side(first), ["key", "text_sha256"]), chunk_chars).groupBy(*group, "pos").agg(F.max("chunk").alias("other"))
+    best = staged(best, "best")
     checked = mine.join(best, [*group, "pos"], "left").select("key", "text_sha256", *group, F.coalesce(F.col("chunk") == F.col("other"), F.lit(False)).alias("equal"))
     checked = checked.groupBy("key", "text_sha256", *group).agg(F.bool_and("equal").alias("equal"))
     return pending.withColumn("key", key).join(checked, ["key", "text_sha256", *group]).drop("key")

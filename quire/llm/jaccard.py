@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quire.runtime import bound_batches, staged
+from quire.runtime import bound_batches, staged, unstage
 
 from .components import components
 from .shingles import BAND, MINHASHES, SIGNED, digests, linker, sets_of, setter, signer, summed_cells
-from .words import blocks
+from .words import blocks, tidy
 
 #: One in so many shingles is added to the prefix, and asked for in common.
 EXTRA = 100
@@ -157,7 +157,9 @@ def verified(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int, num
     needed = pairs.select(F.col("a").alias("vid")).union(pairs.select(F.col("b").alias("vid"))).distinct()
     sets = staged(_sets(docs, vertices, needed, n), "sets")
     full = pairs.join(sets.select(F.col("vid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("vid").alias("b"), F.col("set").alias("set_b")), "b")
-    return staged(full.mapInArrow(linker(num, den), "a long, b long, linked boolean").where("linked").select("a", "b"), "verified")
+    links = staged(full.mapInArrow(tidy(linker(num, den)), "a long, b long, linked boolean").where("linked").select("a", "b"), "verified")
+    unstage(sets)
+    return links
 
 
 def opened_links(docs: DataFrame, labelled: DataFrame, opened: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -180,7 +182,9 @@ def opened_links(docs: DataFrame, labelled: DataFrame, opened: DataFrame, n: int
     rows = held.unionByName(queries)
     sets = staged(_sets(docs, labelled, rows.select("vid").distinct(), n), "opened-sets")
     full = rows.join(sets, "vid").repartition("target", "bin", "copy").sortWithinPartitions("target", "bin", "copy", "query")
-    return staged(full.select("target", "bin", "copy", "query", "vid", "set").mapInArrow(opener(num, den), "a long, b long"), "opened-links")
+    links = staged(full.select("target", "bin", "copy", "query", "vid", "set").mapInArrow(tidy(opener(num, den)), "a long, b long"), "opened-links")
+    unstage(sets)
+    return links
 
 
 def opener(num: int, den: int):
@@ -234,17 +238,17 @@ def band_pairs(vertices: DataFrame, most: int = 500) -> DataFrame:
     """Candidates (a, b): each vertex with the first of its bands' buckets, and with the one before it by
     size, in parts of about `most` vertices of a bucket. Only similar signatures pass."""
     bands = [F.struct(F.lit(k).alias("band"), F.xxhash64(*(F.get("sig", F.lit(k * BAND + i)) for i in range(BAND))).alias("key")) for k in range(MINHASHES // BAND)]
-    rows = vertices.select("vid", "n_shingles", "sig", F.explode(F.array(*bands)).alias("x")).select("vid", "n_shingles", "sig", "x.band", "x.key")
-    buckets = rows.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("vid").alias("first")).where("members > 1")
-    shared = rows.join(buckets, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("vid"), F.ceil(F.col("members") / most)))
-    before = F.lag(F.struct("vid", "sig")).over(W.partitionBy("band", "key", "part").orderBy("n_shingles", "vid"))
-    shared = shared.withColumn("before", before)
-    alike = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda s: s)) * 2 >= MINHASHES
-    chain = shared.where(F.col("before").isNotNull() & alike("sig", F.col("before.sig"))).select(F.col("vid").alias("a"), F.col("before.vid").alias("b"))
-    firsts = vertices.select(F.col("vid").alias("first"), F.col("sig").alias("first_sig"))
-    star = shared.select("vid", "sig", "first").where("vid <> first").dropDuplicates(["vid", "first"]).join(firsts, "first").where(alike("sig", "first_sig"))
-    both = chain.unionByName(star.select(F.col("vid").alias("a"), F.col("first").alias("b")))
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = vertices.select("vid", "n_shingles", F.explode(F.array(*bands)).alias("x")).select("vid", "n_shingles", "x.band", "x.key")
+    buckets = staged(rows.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("vid").alias("first")).where("members > 1"), "buckets")
+    # always by plain shuffles, which can split a hot bucket; signatures are joined to the pairs only
+    shared = rows.join(buckets.hint("merge"), ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("vid"), F.ceil(F.col("members") / most)))
+    before = F.lag("vid").over(W.partitionBy("band", "key", "part").orderBy("n_shingles", "vid"))
+    both = shared.withColumn("before", before).select(F.col("vid").alias("a"), F.explode(F.array("before", "first")).alias("b"))
+    both = both.where("b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sigs = vertices.select("vid", "sig")
+    both = both.join(sigs.select(F.col("vid").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("vid").alias("b"), F.col("sig").alias("y")), "b")
+    alike = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda s: s)) * 2 >= MINHASHES
+    return both.where(alike).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -281,7 +285,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     shared_codes = docs.sparkSession.sparkContext.broadcast(codes)
     rows = fetch(docs, labelled.select("doc_id", "vid", "gid")).select("vid", "gid", "text")
     rows = rows.mapInArrow(_with_broadcast(n, num, den, bits, shared_codes, parts), "part long, tokens binary, gids binary, sizes binary")
-    found = rows.repartition("part").sortWithinPartitions("part").mapInArrow(matrix_pairs(num, den), "a long, b long, shared long")
+    found = rows.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(matrix_pairs(num, den)), "a long, b long, shared long")
     bound = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     least = labelled.groupBy("gid").agg(F.min(1 + F.floor(F.col("n_shingles") / EXTRA)).alias("l"))
     opened = bound.join(least.select(F.col("gid").alias("a"), F.col("l").alias("la")), "a").join(least.select(F.col("gid").alias("b"), F.col("l").alias("lb")), "b").where("shared >= least(la, lb)").select("a", "b")
@@ -289,7 +293,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 
     final = components(first_links.unionByName(more_links))
     rooted = vertices.select("vid", "s2", F.col("doc_id").alias("least_doc")).join(final.withColumnRenamed("v", "vid"), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least_doc").alias("component_id")), "root").select(F.col("vid").alias("s1"), "s2", "component_id", "root")
+    # tables that are joined on keys of large components are written first, so that the joins can split these
+    rooted = staged(rooted, "rooted")
+    least_docs = staged(rooted.groupBy("root").agg(F.min("least_doc").alias("component_id")), "least-docs")
+    named = staged(rooted.join(least_docs, "root").select(F.col("vid").alias("s1"), "s2", "component_id", "root"), "named")
     joined = told.select("doc_id", "text_hash", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
     alone = F.col("n_shingles") == 0
     return joined.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(~alone, F.col("root")).alias("group_id"), "text_hash")
