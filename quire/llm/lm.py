@@ -2,8 +2,8 @@
 
 P(v | u) = l2 * c(u, v) / c(u) + l1 * c(v) / N + l0 / (V + 1), with weights (l2, l1, l0) by the
 bucket of the context's count c(u) (its bit length). The weights are learned by expectation-
-maximisation on held-out counts: the events of a hash slice of all bigram types, each of them
-deleted once from the counts that estimate it.
+maximisation on held-out counts: the events of all bigram types, each of them deleted once from
+the counts that estimate it.
 
 Counts are over all training documents. Bigrams are shipped as sorted binary runs of 32-bit
 differences, by a bijective hash of the pair of word numbers, and never as a row each; scores come
@@ -115,23 +115,37 @@ def turned_back(keys: np.ndarray) -> np.ndarray:
     return keys * np.uint64(_INVERSE) & _KEY_MASK
 
 
-def in_slice(keys: np.ndarray, slices: int) -> np.ndarray:
-    return mix(keys + np.uint64(1)) % np.uint64(slices) == 0
+def parted(keys: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int]], list[bytes]]:
+    """Of sorted turned keys: the part of each, the runs of equal parts, and each run as packed differences."""
+    width = -(-(1 << KEY_BITS) // parts)
+    part = (keys // np.uint64(width)).astype(np.int64)
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    steps = np.diff(keys, prepend=np.uint64(0))
+    steps[cut] = keys[cut] - part[cut].astype(np.uint64) * np.uint64(width)
+    runs = list(zip(cut, np.r_[cut[1:], len(part)], strict=True))
+    return part[cut], runs, [(x := steps[i:j]).astype(np.uint32 if x.max() < 1 << 32 else np.uint64).tobytes() for i, j in runs]
 
 
-def count_events(vocabulary, slices: int, hot: int):
-    """key, c: training bigrams of the held-out slice, and those of two words that are each as frequent as a hot bigram."""
+def unpacked(packed: bytes, n: int, part: int, parts: int) -> np.ndarray:
+    steps = np.frombuffer(packed, np.uint32 if len(packed) == 4 * n else np.uint64).astype(np.uint64)
+    return np.cumsum(steps, dtype=np.uint64) + np.uint64(part) * np.uint64(-(-(1 << KEY_BITS) // parts))
+
+
+COUNTS = "part long, a binary, b binary, n long"
+
+
+def count_pairs(vocabulary, parts: int):
+    """The distinct training bigrams of each block that belong to a part, and how often they occur in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary.value
-        often = np.append(words.counts, 0) >= hot
         for block in blocks(batches):
             toks, begins = tokens(block)
-            _, keys = words.pairs(toks, begins)
-            keys = keys[np.repeat(_flags(block), np.diff(begins))]
-            u, v = np.divmod(keys.astype(np.int64), words.size + 1)
-            kinds, n = np.unique(keys[in_slice(keys, slices) | often[u] & often[v]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n)], ["key", "c"])
+            _, keys = vocabulary.value.pairs(toks, begins)
+            kinds, n = np.unique(turned(keys[np.repeat(_flags(block), np.diff(begins))]), return_counts=True)
+            part, runs, packed = parted(kinds, parts)
+            counts = [(x := n[i:j]).astype(np.uint8 if x.max() < 1 << 8 else np.uint32 if x.max() < 1 << 32 else np.uint64).tobytes() for i, j in runs]
+            sizes = pa.array([j - i for i, j in runs], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(packed, pa.binary()), pa.array(counts, pa.binary()), sizes], ["part", "a", "b", "n"])
 
     return run
 
@@ -150,12 +164,40 @@ def _cells(c: np.ndarray, cu: np.ndarray, cv: np.ndarray, total: int) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(kinds), *map(pa.array, sums)], ["cell", "w", "p2", "p1"])
 
 
-def cells_of(vocabulary, slices: int, total: int):
+LEARNED = f"key long, c long, {CELLS}"
+
+
+def cells_of(vocabulary, total: int, parts: int, hot: int):
+    """Of each part: the cells of all its bigram types (key is null), and its hot bigrams (cell is null)."""
+
+    def solve(part: int, held: list[tuple]) -> pa.RecordBatch:
+        counts, keys = [], []
+        for a, b, n in held:
+            counts.append(np.frombuffer(b, f"u{len(b) // n}").astype(np.int64))
+            keys.append(unpacked(a, n, part, parts))
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(keys, kind="stable")
+        keys, c = keys[order], counts[order]
+        head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        keys, c = turned_back(keys[head]), np.add.reduceat(c, head)
+        cells = _cells(c, *vocabulary.value.of(keys), total)
+        often = c >= hot
+        n, m = cells.num_rows, int(often.sum())
+        columns = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x[often].view(np.int64))]) for x in (keys, c)]
+        columns += [pa.concat_arrays([x, pa.nulls(m, x.type)]) for x in cells.columns]
+        return pa.RecordBatch.from_arrays(columns, ["key", "c", *cells.schema.names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            keys, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "c"))
-            held = in_slice(keys.view(np.uint64), slices)
-            yield _cells(c[held], *vocabulary.value.of(keys[held]), total)
+            for part, *rest in zip(*(batch.column(k).to_pylist() for k in ("part", "a", "b", "n")), strict=True):
+                if part != now and held:
+                    yield solve(now, held)
+                    held = []
+                now = part
+                held.append(rest)
+        if held:
+            yield solve(now, held)
 
     return run
 
@@ -205,7 +247,6 @@ def ship(vocabulary, hot_keys, hot_logs, total: int, parts: int):
         words, hot, logs = vocabulary.value, hot_keys.value, hot_logs.value
         number = TaskContext.get().partitionId() << 32
         known = np.append(words.counts, 0)
-        width = -(-(1 << KEY_BITS) // parts)
         for block in blocks(batches):
             toks, begins = tokens(block)
             numbers, keys = words.pairs(toks, begins)
@@ -224,14 +265,9 @@ def ship(vocabulary, hot_keys, hot_logs, total: int, parts: int):
             keys, doc = keys[~is_hot], doc[~is_hot]
             order = np.argsort(keys)
             keys, doc = keys[order], doc[order].astype(np.uint16)
-            part = (keys // np.uint64(width)).astype(np.int64)
-            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-            steps = np.diff(keys, prepend=np.uint64(0))
-            steps[cut] = keys[cut] - part[cut].astype(np.uint64) * np.uint64(width)
-            runs = list(zip(cut, np.r_[cut[1:], len(part)], strict=True))
+            part, runs, packed = parted(keys, parts)
             flags = marks[0].tobytes()
-            packed = [(x := steps[i:j]).astype(np.uint32 if x.max() < 1 << 32 else np.uint64).tobytes() for i, j in runs]
-            yield _rows(1, part[cut], np.full(len(runs), number), packed, [doc[i:j].tobytes() for i, j in runs], [flags] * len(runs))
+            yield _rows(1, part, np.full(len(runs), number), packed, [doc[i:j].tobytes() for i, j in runs], [flags] * len(runs))
             number += 1
 
     return run
@@ -242,12 +278,10 @@ def answer(vocabulary, weights: np.ndarray, total: int, parts: int):
 
     def solve(part: int, held: list[tuple]) -> pa.RecordBatch:
         words = vocabulary.value
-        base = np.uint64(part) * np.uint64(-(-(1 << KEY_BITS) // parts))
         keys, owner, train, where = [], [], [], []
         for k, (block, a, b, c) in enumerate(held):
             doc = np.frombuffer(b, np.uint16)
-            steps = np.frombuffer(a, np.uint32 if len(a) == 4 * len(doc) else np.uint64).astype(np.uint64)
-            keys.append(np.cumsum(steps, dtype=np.uint64) + base)
+            keys.append(unpacked(a, len(doc), part, parts))
             owner.append(doc.astype(np.int64) + (k << 16))
             train.append(np.frombuffer(c, np.uint8)[doc])
             where.append(block)
@@ -317,7 +351,7 @@ def gather(total: int):
     return run
 
 
-def lm_scores(docs: DataFrame, held_out: Column, slices: int = 16, part_rows: int = 1_500_000, max_vocab: int = 8_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column, part_rows: int = 1_500_000, max_vocab: int = 8_000_000) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows where held_out is false. Tokens: words (runs of characters other than 0x20 and
@@ -338,15 +372,16 @@ def lm_scores(docs: DataFrame, held_out: Column, slices: int = 16, part_rows: in
     counts = table.column("c").to_numpy()[order]
     vocabulary = spark.sparkContext.broadcast(Vocabulary(hashed[order], counts.astype(np.uint32) if total < 1 << 32 else counts))
     hot = max(part_rows, math.ceil(total / HOT_SHARE))
-    events = staged(rows.where("train").select("text", "train").mapInArrow(count_events(vocabulary, slices, hot), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "events")
-    cells = events.mapInArrow(cells_of(vocabulary, slices, total), CELLS).groupBy("cell").agg(*(F.sum(x).alias(x) for x in ("w", "p2", "p1"))).toPandas()
+    parts = max(1, math.ceil(total / part_rows))
+    counted = rows.where("train").select("text", "train").mapInArrow(count_pairs(vocabulary, parts), COUNTS)
+    learned = staged(counted.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(cells_of(vocabulary, total, parts, hot)), LEARNED), "learned")
+    cells = learned.where("cell IS NOT NULL").groupBy("cell").agg(*(F.sum(x).alias(x) for x in ("w", "p2", "p1"))).toPandas()
     weights = learn(cells, 1 / (size + 1))
-    hots = events.where(F.col("c") >= hot).toPandas()
+    hots = learned.where("key IS NOT NULL").select("key", "c").toPandas()
     keys = hots["key"].to_numpy(np.int64).view(np.uint64)
     logs = log_probability(hots["c"].to_numpy(np.int64), *vocabulary.value.of(keys), total, size, weights) if len(hots) else np.zeros(0)
     order = np.argsort(turned(keys))
     hot_keys, hot_logs = (spark.sparkContext.broadcast(x[order]) for x in (turned(keys), logs))
-    parts = max(1, math.ceil(total / part_rows))
     shipped = rows.mapInArrow(ship(vocabulary, hot_keys, hot_logs, total, parts), ROWS)
     answered = shipped.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(answer(vocabulary, weights, total, parts)), ROWS)
     return answered.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(gather(total)), RESULT)

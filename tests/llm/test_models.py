@@ -127,6 +127,17 @@ def test_lm(docs, odd, empty, monkeypatch):
     assert lm.lm_scores(odd, F.lit(True)).where("train_tokens = 0 and n_known = 0").count() == odd.count()
 
 
+def test_lm_learns_from_all_bigrams_on_both_paths(docs, odd, monkeypatch):
+    kept = []
+    learn = lm.learn
+    monkeypatch.setattr(lm, "learn", lambda cells, *a: kept.append((cells["w"].sum(), learn(cells, *a))) or kept[-1][1])
+    for df in (docs, odd):
+        kept.clear()
+        for options in ({}, {"part_rows": 200}, {"max_vocab": 1}):
+            total = lm.lm_scores(df, held(), **options).first().train_tokens
+        assert all(events == total and np.allclose(weights, kept[0][1], atol=1e-9) for events, weights in kept)
+
+
 def test_lm_beats_the_base(docs):
     row = lm.lm_scores(docs, held()).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert row[0] > row[1]
