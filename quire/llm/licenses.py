@@ -39,7 +39,11 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "Released under the GPL, version 2 or later.",
     ),
-    "lgpl": ("Licensed under the GNU Lesser General Public License, version 2.1.", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
+    "lgpl": (
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    ),
     "bsd": (
         "Licensed under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license",
@@ -187,18 +191,49 @@ def classifier() -> Classifier:
     return Classifier()
 
 
+def windows_of(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last word (exclusive) of the windows of runs of words, and the run of each."""
+    n = end - begin
+    count = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
+    run = np.repeat(np.arange(len(n)), count)
+    a = begin[run] + (np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
+    return a, np.minimum(a + WINDOW, end[run]), run
+
+
 def pieces(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """First and last word (exclusive), document and line number of each paragraph, or window of a long one."""
+    """First and last word (exclusive), document, and number of the first line of each line and of each paragraph of
+    several lines, or window of a long one; whether it is of several lines."""
     breaks = np.union1d(offsets, np.flatnonzero(data == 10) + 1)
     begin = np.searchsorted(starts, breaks)
     line_doc = np.searchsorted(offsets, breaks[:-1], side="right") - 1
     line_no = np.arange(len(breaks) - 1) - np.searchsorted(breaks[:-1], offsets[:-1])[line_doc]
-    n = np.diff(begin)
-    count = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
-    line = np.repeat(np.arange(len(n)), count)
-    k = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
-    a = begin[:-1][line] + k * STRIDE
-    return a, np.minimum(a + WINDOW, begin[1:][line]), line_doc[line], line_no[line]
+    begin, end = begin[:-1], begin[1:]
+    a, b, line = windows_of(begin, end)
+    # a paragraph: lines with words that follow each other in a document
+    full = np.flatnonzero(end > begin)
+    opens = np.r_[True, (np.diff(full) > 1) | (np.diff(line_doc[full]) > 0)] if len(full) else np.zeros(0, bool)
+    heads = np.flatnonzero(opens)
+    tails = np.r_[heads[1:], len(full)] - 1
+    c, d, _ = windows_of(begin[full[heads]], end[full[tails]])
+    low, high = (full[np.searchsorted(begin[full], x, side="right") - 1] for x in (c, d - 1))
+    c, d, low = c[low < high], d[low < high], low[low < high]
+    return np.r_[a, c], np.r_[b, d], line_doc[np.r_[line, low]], line_no[np.r_[line, low]], np.r_[np.zeros(len(a), bool), np.ones(len(c), bool)]
+
+
+def told_once(a: np.ndarray, b: np.ndarray, kind: np.ndarray, similarity: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """Which finds to tell: one of several lines if none of a single line that it touches is as similar to the family;
+    one of a single line unless it lies in a told one of several lines with the same family."""
+    told = np.ones(len(a), bool)
+    for k in np.unique(kind[several]):
+        lines, joined = (np.flatnonzero((kind == k) & (several == x)) for x in (False, True))
+        lines = lines[np.argsort(a[lines], kind="stable")]
+        for j in joined:
+            # lines and their windows are in order of both ends
+            near = lines[np.searchsorted(b[lines], a[j], side="right") : np.searchsorted(a[lines], b[j])]
+            told[j] = not (similarity[near] >= similarity[j]).any()
+            if told[j]:
+                told[near[(a[near] >= a[j]) & (b[near] <= b[j])]] = False
+    return told
 
 
 def scanner(model, least: float, least_similarity: float):
@@ -211,7 +246,7 @@ def scanner(model, least: float, least_similarity: float):
             if not len(starts):
                 continue
             words = hashes(data, *trimmed(data, starts, ends))
-            a, b, doc, line = pieces(data, block.offsets, starts, first)
+            a, b, doc, line, several = pieces(data, block.offsets, starts, first)
             hits = [m.known(g) for g in grams(words)]
             # only pieces with a known pair of words can be licences
             pair_at = np.sort(hits[1][0])
@@ -228,10 +263,13 @@ def scanner(model, least: float, least_similarity: float):
             p = m.probabilities(once % len(m.keys), once // len(m.keys), len(may))
             kind = p.argmax(1)
             found = np.flatnonzero((kind != none) & (p.max(1) >= least))
+            at = may[found]
+            alike = np.array([m.similarity(int(kind[i]), words[a[may[i]] : b[may[i]]]) for i in found])
+            told = np.flatnonzero(told_once(a[at], b[at], kind[found], alike, several[at]))
             ids, rows = block.rows.column("doc_id"), []
-            for i in found:
+            for t in told[np.lexsort((several[at[told]], a[at[told]]))]:
+                i, s = found[t], float(alike[t])
                 x, y, d = int(a[may[i]]), int(b[may[i]]), int(doc[may[i]])
-                s = m.similarity(int(kind[i]), words[x:y])
                 rows.append((d, int(line[may[i]]), int(starts[x] - block.offsets[d]), int(ends[y - 1] - block.offsets[d]), CLASSES[kind[i]], float(p[i].max()), s, s >= least_similarity, block.data[starts[x] : ends[y - 1]].tobytes().decode(errors="replace")))
             if rows:
                 columns = list(zip(*rows, strict=True))
@@ -242,9 +280,12 @@ def scanner(model, least: float, least_similarity: float):
 
 
 def license_scan(docs: DataFrame, least: float = 0.5, least_similarity: float = 0.6) -> DataFrame:
-    """One row per paragraph (line), or window of 64 words of a longer one, that is classed as licence wording:
-    doc_id, paragraph (line number from 0), start and end (bytes of the UTF-8 text), family, probability,
-    similarity (with the family's closest template), confirmed, excerpt.
+    """One row per line, or window of 64 words of a longer one, that is classed as licence wording:
+    doc_id, paragraph (number of its first line, from 0), start and end (bytes of the UTF-8 text), family,
+    probability, similarity (with the family's closest template), confirmed, excerpt.
+
+    Paragraphs of several lines (up to a blank one) are read as a whole too, in the same windows: such a
+    row is told if it is more similar than any line of its family in it, in place of these lines.
 
     Documents without such wording, and null, empty or blank texts, have no rows; repeated rows have
     theirs each. 'unknown' is never confirmed. Empty input: no rows. Only doc_id and text are read.

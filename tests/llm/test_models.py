@@ -240,3 +240,34 @@ def test_licence_lines_like_brute_force(docs):
     lines = {"Licensed under CC BY-NC 4.0.": "cc-by-nc", "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Released under the MIT License.": "mit", "All rights reserved.": "proprietary"}
     want = Counter((r.doc_id, k, lines[x]) for r in docs.collect() for k, x in enumerate((r.text or "").split("\n")) if x in lines)
     assert Counter((r.doc_id, r.paragraph, r.family) for r in licenses.license_scan(docs).where("confirmed").collect()) == want
+
+
+WRAPPED = {
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+}
+
+
+def test_wrapped_licences(spark):
+    filler = "La paoiré ou ierere thnt\neringing of the house.\n" * 30
+    texts, want = {}, {}
+    for k, (family, text) in enumerate(WRAPPED.items()):
+        alone = {10 * k: text, 10 * k + 1: f"Copyright 2020 A. Person\n\n{text}\n\nint main()", 10 * k + 2: text.replace("\n", "\r\n"), 10 * k + 3: f"{filler}\n{text}\n \n{filler}", 10 * k + 4: f"{filler}{text}\n{filler}"}
+        alone[10 * k + 5] = "\n".join(f" * {x}" for x in text.split("\n"))
+        texts |= alone
+        want |= {i: family for i in alone}
+    df = spark.createDataFrame([*texts.items(), (90, "Released under the\n\nMIT License."), (91, WRAPPED["gpl"].replace("\n", "\n\n"))], "doc_id long, text string")
+    rows = licenses.license_scan(df).collect()
+    assert {(r.doc_id, r.family) for r in rows if r.confirmed} == set(want.items())
+    for r in rows:
+        if r.doc_id in texts:
+            assert texts[r.doc_id].encode()[r.start : r.end].decode() == r.excerpt
+            assert r.paragraph == texts[r.doc_id].encode()[: r.start].count(b"\n")
+
+
+def test_licences_of_two_families_in_one_paragraph(spark):
+    texts = ["Released under the MIT License.\n" + WRAPPED["gpl"], "Copyright 2020 the authors. All rights reserved.\n" + WRAPPED["bsd"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.family) for r in licenses.license_scan(df).where("confirmed").collect()}
+    assert got == {(0, "mit"), (0, "gpl"), (1, "proprietary"), (1, "bsd")}
