@@ -1,7 +1,7 @@
 """A bidirectional gated recurrent network with attention pooling, in numpy: windows of words to one logit.
 
 A word's vector is a hashed embedding of the word plus the mean of hashed embeddings of its character
-n-grams. Both directions run as one batched recurrence: arrays have the direction as first axis.
+n-grams; of a long run without blanks each of its overlapping pieces is a word. Both directions run as one batched recurrence: arrays have the direction as first axis.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from .words import hashes, mix
 
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN, WINDOW, STRIDE = 1 << 17, 1 << 17, 10, 8, 32, 16
 NGRAMS = (3, 4)
+#: Bytes of the longest word that stays whole; of the pieces that a longer one is split into; and from one to the next.
+LONGEST, PIECE, PIECE_STEP = 40, 24, 12
 _PUNCTUATION = np.isin(np.arange(256), list(b".,;:!?\"'()[]{}*#$%&|<>-_"))
 
 
@@ -30,6 +32,16 @@ def trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rounds: int
     return starts, ends
 
 
+def split_long(starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (and the index of each document's first one) with those of over LONGEST bytes as overlapping pieces."""
+    long = ends - starts > LONGEST
+    count = np.where(long, 1 - (PIECE - (ends - starts)) // PIECE_STEP, 1)
+    begins = np.concatenate([[0], np.cumsum(count)])
+    word = np.repeat(np.arange(len(starts)), count)
+    start = starts[word] + (np.arange(len(word)) - begins[word]) * PIECE_STEP
+    return start, np.where(long[word], np.minimum(start + PIECE, ends[word]), ends[word]), begins[first]
+
+
 @dataclass
 class Words:
     """Distinct words: the row of each in the word table, and its rows in the table of character n-grams."""
@@ -42,7 +54,7 @@ class Words:
 def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[Words, np.ndarray]:
     """The distinct words of spans of (lower-cased) bytes, and the place of each span's word among them."""
     kinds, at, back = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
-    s, e = starts[at], np.minimum(ends[at], starts[at] + 40)
+    s, e = starts[at], ends[at]
     size = e - s + 2
     begin = np.concatenate([[0], np.cumsum(size)])
     inside = np.arange(begin[-1]) - np.repeat(begin[:-1], size)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quire.runtime import bound_batches
 
-from .gru import CHAR_ROWS, WINDOW, WORD_ROWS, Network, Trainer, Words, distinct_words, trimmed, window_table
+from .gru import CHAR_ROWS, WINDOW, WORD_ROWS, Network, Trainer, Words, distinct_words, split_long, trimmed, window_table
 from .quality import held_out_rows
 from .words import Block, blocks, lower_ascii, mix, spans
 
@@ -34,7 +34,7 @@ class Model:
 
 def _read(data: np.ndarray, offsets: np.ndarray):
     data = lower_ascii(data)
-    starts, ends, first = spans(data, offsets)
+    starts, ends, first = split_long(*spans(data, offsets))
     return data, *trimmed(data, starts, ends), first
 
 
@@ -60,12 +60,12 @@ def logits(net: Network, block: Block, batch: int = 2048) -> np.ndarray:
 
 
 def sample_windows(most: int):
-    """doc_id, toxic and up to `most` windows of each text (words parted by blanks), chosen by hash."""
+    """doc_id, toxic and up to `most` windows of each text (words, and pieces of long ones, parted by blanks), chosen by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             data = lower_ascii(block.data)
-            starts, ends, first = spans(data, block.offsets)
+            starts, ends, first = split_long(*spans(data, block.offsets))
             table, doc = window_table(first)
             order = np.lexsort((mix(np.arange(len(doc), dtype=np.uint64)), doc))
             rank = np.arange(len(doc)) - np.searchsorted(doc, doc)

@@ -208,6 +208,39 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.predicted == r.toxic for r in got]) >= 0.93
 
 
+def test_long_words_are_read_whole():
+    texts = ["abc " + "x" * 39 + " y", "ö" * 500 + "z" * 7 + " a", "", "-".join(f"w{i}" for i in range(100)), "q" * 41, "q" * 40]
+    b = block(*texts)
+    starts, ends, first = gru.split_long(*words.spans(b.data, b.offsets))
+    for i, t in enumerate(texts):
+        own = list(zip(starts[first[i] : first[i + 1]] - b.offsets[i], ends[first[i] : first[i + 1]] - b.offsets[i], strict=True))
+        assert all(0 < e - s <= gru.LONGEST for s, e in own)
+        raw = t.encode()
+        for s in range(len(raw) - gru.PIECE_STEP + 1):
+            if b" " not in raw[s : s + gru.PIECE_STEP]:
+                assert any(x <= s and s + gru.PIECE_STEP <= y for x, y in own)
+    net = gru.Network()
+    same = toxicity.logits(net, block("q" * 300 + "grumf" + "q" * 300, "q" * 300 + "blarg" + "q" * 300))
+    assert same[0] != same[1]
+
+
+def test_toxicity_without_blanks(spark):
+    rng = np.random.default_rng(0)
+    stems, common = ["猫犬鳥", "山川海"], [f"{a}{b}" for a in "春夏秋冬朝昼夕夜" for b in "日月火水木金土"]
+    rows, known = [], []
+    for i in range(600):
+        text = list(rng.choice(common, rng.integers(30, 150)))
+        toxic = int(i % 4 == 0)
+        if toxic:
+            for _ in range(1 + len(text) // 40):
+                text[rng.integers(12, len(text))] = rng.choice(stems)
+        rows.append((i, "".join(text)))
+        known.append((i, 0, toxic))
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity_scores(df, labels).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted == r.toxic for r in got]) >= 0.93
+
+
 def test_toxicity_odd_rows(spark, odd, empty, labels):
     made = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (9, 0, 1), (2, 1, 0), (12, 1, 0), (4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for known in (labels.limit(0), made):
