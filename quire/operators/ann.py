@@ -14,6 +14,7 @@ from quire.functions.vectors import dot, is_finite
 
 #: Queries that are sent to the workers at once (with 384 dimensions about 12 MB).
 QUERY_BLOCK = 4_096
+PAIRS = "query_id long, region_id long, product double"
 
 
 def _vectors(column: pa.ListArray) -> np.ndarray:
@@ -40,20 +41,36 @@ def _scan(ids: np.ndarray, queries: np.ndarray, k: int):
     return run
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, removed: DataFrame | None = None) -> DataFrame:
-    """query_id, region_id, product, rank: the k highest dot products of each row of queries (query_id, vector)
-    among vectors (region_id, vector), ties by region_id. removed: tombstones (region_id).
+#: Products that a worker holds at once where all pairs are looked at.
+PRODUCTS = 1 << 20
 
-    Each partition keeps its k best by a matrix product; queries go in blocks of bounded size, one scan a block.
-    """
-    live = vectors.where(F.col("vector").isNotNull() & is_finite(F.col("vector"))).select(F.col("region_id").cast("long").alias("region_id"), "vector")
-    if removed is not None:
-        live = live.join(removed.select("region_id").distinct(), "region_id", "left_anti")
+
+def _scan_all(ids: np.ndarray, queries: np.ndarray, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, vectors = batch.column("region_id").to_numpy(zero_copy_only=False), _vectors(batch.column("vector"))
+            step = max(1, PRODUCTS // len(own))
+            for i in range(0, len(ids), step):
+                products = queries[i : i + step] @ vectors.T
+                q, r = np.nonzero(products >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + q]), pa.array(own[r]), pa.array(products[q, r])], ["query_id", "region_id", "product"])
+
+    return run
+
+
+def _live(vectors: DataFrame) -> DataFrame:
+    return vectors.where(F.col("vector").isNotNull() & is_finite(F.col("vector"))).select(F.col("region_id").cast("long").alias("region_id"), "vector")
+
+
+def _scanned(queries: DataFrame, live: DataFrame, scan) -> DataFrame | None:
+    """The scans of all blocks of queries; None without queries. scan: from ids and vectors of a block to its scan."""
     parts, block = [], []
 
     def add() -> None:
         ids, own = np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)
-        parts.append(live.mapInArrow(_scan(ids, own, k), "query_id long, region_id long, product double"))
+        parts.append(live.mapInArrow(scan(ids, own), PAIRS))
 
     for row in queries.select(F.col("query_id").cast("long"), "vector").toLocalIterator():
         block.append(row)
@@ -62,11 +79,30 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, removed: DataFrame | Non
             block = []
     if block:
         add()
-    if not parts:
-        return live.sparkSession.createDataFrame([], "query_id long, region_id long, product double, rank int")
-    found = parts[0]
+    found = parts[0] if parts else None
     for p in parts[1:]:
         found = found.unionByName(p)
+    return found
+
+
+def at_least(queries: DataFrame, vectors: DataFrame, least: float = float("-inf")) -> DataFrame:
+    """query_id, region_id, product: all pairs with a dot product of at least `least`, however many they are."""
+    found = _scanned(queries, _live(vectors), lambda ids, own: _scan_all(ids, own, least))
+    return vectors.sparkSession.createDataFrame([], PAIRS) if found is None else found
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, removed: DataFrame | None = None) -> DataFrame:
+    """query_id, region_id, product, rank: the k highest dot products of each row of queries (query_id, vector)
+    among vectors (region_id, vector), ties by region_id. removed: tombstones (region_id).
+
+    Each partition keeps its k best by a matrix product; queries go in blocks of bounded size, one scan a block.
+    """
+    live = _live(vectors)
+    if removed is not None:
+        live = live.join(removed.select("region_id").distinct(), "region_id", "left_anti")
+    found = _scanned(queries, live, lambda ids, own: _scan(ids, own, k))
+    if found is None:
+        return live.sparkSession.createDataFrame([], f"{PAIRS}, rank int")
     return ranked(found, k)
 
 

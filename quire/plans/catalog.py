@@ -55,7 +55,7 @@ def _(v: Views):
 
 @query("f5_similarity", "SELECT query_id, region_id, round(least(greatest(product, 0), 1), 6) AS sim FROM pairs", "pairs")
 def _(v: Views):
-    every = ann.knn(v.query_vec, v.vectors, 1 << 20)
+    every = ann.at_least(v.query_vec, v.vectors)
     return every.select("query_id", "region_id", F.round(V.similarity(F.col("product")), 6).alias("sim"))
 
 
@@ -80,8 +80,7 @@ def _(v: Views):
 
 @query("p1_similarity_floor", "SELECT query_id, region_id, round(product, 6) AS sim FROM pairs WHERE least(greatest(product, 0), 1) >= 0.3", "pairs")
 def _(v: Views):
-    found = ann.knn(v.query_vec, v.vectors, 500)
-    return found.where(V.similarity(F.col("product")) >= 0.3).select("query_id", "region_id", r6("product", "sim"))
+    return ann.at_least(v.query_vec, v.vectors, 0.3).select("query_id", "region_id", r6("product", "sim"))
 
 
 @query("p4_finite_filter", "SELECT id FROM regions WHERE id % 6 <> 1 AND id % 6 <> 4", "regions")

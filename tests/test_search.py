@@ -106,6 +106,25 @@ def test_knn_blocks_and_bad_vectors(spark, monkeypatch):
     assert ann.knn(asked.limit(0), rows, 7).count() == 0
 
 
+def test_similarity_floor_has_no_cap(spark, monkeypatch, tmp_path):
+    from quire.plans.catalog import QUERIES
+
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(ann, "PRODUCTS", 500)
+    rng = np.random.default_rng(4)
+    data = np.r_[np.eye(64)[0] + rng.normal(0, 0.05, (700, 64)), rng.normal(size=(100, 64))]
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(data)], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    vectors = np.array(data, np.float32).astype(float)
+    products = vectors[[0, 37, 250]] @ vectors.T
+    got = {(r.query_id, r.region_id) for r in QUERIES["p1_similarity_floor"](spark, str(tmp_path)).collect()}
+    assert got == set(map(tuple, np.argwhere(products >= 0.3))) and len(got) > 3 * 500
+    assert QUERIES["f5_similarity"](spark, str(tmp_path)).count() == 3 * 800
+    asked = rows.limit(0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    assert ann.at_least(asked, rows.select(F.col("vec_id").alias("region_id"), F.col("embedding").alias("vector"))).count() == 0
+
+
 def test_inverted_file_recall(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("region_id"), F.col("embedding").alias("vector"))
     asked = rows.where("region_id % 50 = 0").select(F.col("region_id").alias("query_id"), "vector")
