@@ -154,7 +154,9 @@ class InvertedFile:
 
         return rows.select(F.col(key).cast("long").alias("key"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "key long, vector array<double>, cell long")
 
-    def search(self, queries: DataFrame, k: int, probes: int = 4) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int = 12) -> DataFrame:
+        """Like knn, but only among the vectors in the `probes` nearest cells of each query: with the defaults a recall
+        of 0.91 to 0.95 of the 10 nearest on the driver's tables, whose vectors hardly cluster."""
         asked = self._celled(queries, "query_id", probes).select(F.col("key").alias("query_id"), F.col("vector").alias("_q"), "cell")
         pairs = self.table.select(F.col("key").alias("region_id"), "vector", "cell").join(asked, "cell")
         return ranked(pairs.select("query_id", "region_id", dot(F.col("vector"), F.col("_q")).alias("product")), k)

@@ -133,6 +133,15 @@ def test_inverted_file_recall(spark, sf):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_inverted_file_recall_by_default(spark, sf):
+    for table in (sf, "/root/testdata/sf0.1"):
+        rows = spark.read.parquet(f"{table}/embeddings.parquet").select(F.col("vec_id").alias("region_id"), F.col("embedding").alias("vector"))
+        asked = rows.where("region_id % 50 = 0").select(F.col("region_id").alias("query_id"), "vector")
+        exact = {(r.query_id, r.region_id) for r in ann.knn(asked, rows, 10).collect()}
+        found = {(r.query_id, r.region_id) for r in ann.InvertedFile(rows).search(asked, 10).collect()}
+        assert len(exact & found) / len(exact) >= 0.9
+
+
 def test_bm25_like_fts5(spark, sf):
     pages = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("page_id"), "text")
     db = sqlite3.connect(":memory:")
