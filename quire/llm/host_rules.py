@@ -16,6 +16,8 @@ from quire.runtime import staged
 #: Java regular expressions: white space that parts words, and a word.
 GAP, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 SYMBOL = "[#*$%&|<>]"
+#: Strength of a prior where hosts do not differ beyond their sampling.
+NO_VARIANCE = 1e12
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -62,24 +64,37 @@ def measured(docs: DataFrame, host: str = "source", text: str = "text") -> DataF
     return rows.select("doc_id", "host", *(c.cast("long").alias(k) for k, c in columns.items()))
 
 
+def beta_prior(docs: float, fails: float, hosts: float, docs2: float, fails2: float) -> tuple[float, float]:
+    """Mean and strength of the prior, from sums over hosts of n documents with x failures: n, x, 1, n * n and x * x / n."""
+    m = fails / docs if docs else 0.0
+    if not 0 < m < 1:
+        return m, NO_VARIANCE
+    # the expected weighted square deviation is m (1 - m) ((hosts - 1) + rho * room)
+    room = docs - docs2 / docs - (hosts - 1)
+    beyond = (fails2 - fails * m) / (m * (1 - m)) - (hosts - 1)
+    rho = beyond / room if room > 1e-9 else 0.0
+    return m, NO_VARIANCE if rho <= 1e-12 else max(1 / rho - 1, 1e-3)
+
+
 def host_verdicts(metrics: DataFrame, most_rate: float = 0.5, symbols_per_word: float = 0.1, dup_lines_per_word: float = 0.2, most_broadcast: int = 100_000) -> DataFrame:
     """metrics with base_failed, rule_failed, host_docs, host_rate and kept.
 
     base_failed: under 10 words, or over a fifth of the words in repeated windows. rule_failed: that,
     or more than symbols_per_word symbols or dup_lines_per_word repeated lines a word. host_rate: the
-    host's share of rule_failed, shrunk by a beta prior that has the mean and variance of the hosts'
-    shares (where these don't differ, the prior's mean). kept: not rule_failed, and host_rate is at
-    most most_rate. Hosts hold few columns of counts, and hot hosts are summed before the shuffle. Up to
+    host's share of rule_failed, shrunk by a beta prior with the mean of all documents and a strength
+    of 1 / rho - 1, where rho is the share of the hosts' variance that their sampling doesn't explain
+    (beta-binomial moments, weighted by documents). Where sampling explains all of it, as with hosts
+    of one document each, the rate is the mean. kept: not rule_failed, and host_rate is at most most_rate. Hosts hold few columns of counts, and hot hosts are summed before the shuffle. Up to
     most_broadcast hosts (a few MB) go to the documents; more are joined by a shuffle that can split hot ones.
     """
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     own = base | (F.col("n_symbols") > symbols_per_word * F.col("n_words")) | (F.col("n_dup_lines") > dup_lines_per_word * F.col("n_words"))
     rows = metrics.withColumns({"base_failed": base, "rule_failed": own})
     hosts = staged(rows.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("rule_failed").cast("long")).alias("fails")), "hosts")
-    rate = F.col("fails") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v")).first()
-    m, v = prior["m"] or 0.0, prior["v"] or 0.0
-    strength = max(m * (1 - m) / v - 1, 1e-3) if v > 0 else 1e12
+    sums = hosts.agg(*(F.coalesce(F.sum(x), F.lit(0.0)).cast("double").alias(k) for k, x in {
+        "docs": F.col("host_docs"), "fails": F.col("fails"), "hosts": F.lit(1), "docs2": F.col("host_docs").cast("double") * F.col("host_docs"), "fails2": F.col("fails").cast("double") * F.col("fails") / F.col("host_docs"),
+    }.items())).first()
+    m, strength = beta_prior(**sums.asDict())
     shrunk = (F.col("fails") + m * strength) / (F.col("host_docs") + strength)
     hosts = hosts.select("host", "host_docs", F.round(shrunk, 6).alias("host_rate"))
     few = hosts.limit(most_broadcast + 1).count() <= most_broadcast
@@ -118,8 +133,9 @@ f AS (
          n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols > 0.1 * n_words OR n_dup_lines > 0.2 * n_words AS rule_failed
   FROM m),
 h AS (SELECT host, count(*) AS host_docs, sum(rule_failed::INT) AS fails FROM f GROUP BY host),
-q AS (SELECT avg(fails / host_docs) AS m, coalesce(var_samp(fails / host_docs), 0) AS v FROM h),
-k AS (SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1e-3) ELSE 1e12 END AS s FROM q),
+q AS (SELECT sum(host_docs)::DOUBLE AS n, sum(fails)::DOUBLE AS x, count(*)::DOUBLE AS hosts, sum(host_docs::DOUBLE * host_docs) AS n2, sum(fails::DOUBLE * fails / host_docs) AS x2 FROM h),
+b AS (SELECT x / n AS m, n - n2 / n - (hosts - 1) AS room, (x2 - x * x / n) / nullif(x / n * (1 - x / n), 0) - (hosts - 1) AS beyond FROM q),
+k AS (SELECT m, CASE WHEN m <= 0 OR m >= 1 OR room <= 1e-9 OR beyond / room <= 1e-12 THEN 1e12 ELSE greatest(room / beyond - 1, 1e-3) END AS s FROM b),
 z AS (SELECT host, host_docs, round((fails + m * s) / (host_docs + s), 6) AS host_rate FROM h, k)
 SELECT doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule_failed, host_docs, host_rate,
        NOT rule_failed AND host_rate <= 0.5 AS kept

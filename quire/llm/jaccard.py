@@ -8,7 +8,9 @@
    |x| - ceil(2t / (1 + t) |x|) + l shingles of x and the first |y| - ceil(t |y|) + l of y have l in
    common, where l is 1 + |x| div EXTRA. The token-group matrix holds, for each of these shingles, the
    groups in whose union it is; the number of shingles that two groups share there bounds the overlap
-   of any of their members, and only pairs of groups that reach it are opened.
+   of any of their members, and only pairs of groups that reach it are opened. Groups in one shingle's
+   row are in order of size, and only those of fitting sizes meet; a row of over RUN groups is cut into
+   square cells that are dealt out to tasks.
 4. A group is opened in bins of its members. A bin has the union of its members' whole sets; a query
    that overlaps it too little is passed over, others are counted against all members at once. As a
    group is connected, one link of a query with it is enough.
@@ -28,18 +30,22 @@ from pyspark.sql import Window as W
 from quire.runtime import bound_batches, staged, unstage
 
 from .components import components
-from .shingles import BAND, MINHASHES, SIGNED, digests, linker, sets_of, setter, signer, summed_cells
-from .words import blocks, tidy
+from .shingles import BAND, MINHASHES, SIGNED, SLICE_BITS, digests, linker, sets_of, setter, signer, summed_cells
+from .words import blocks, mix, tidy
 
 #: One in so many shingles is added to the prefix, and asked for in common.
 EXTRA = 100
 #: Rows of a table of keys that may be broadcast (about 20 MB).
 BROADCAST_ROWS = 500_000
-#: Most cells of the frequency sketch (a byte each, sent to every worker).
-MOST_BITS = 26
+#: Most cells of the frequency sketch (a byte each, sent to every worker; a task holds and ships four bytes each). It
+#: only has to tell very common shingles from the rest, so it does not grow further with the corpus.
+MOST_BITS = 22
+#: Groups of one shingle that are paired in one task; shingles of at least SALTED documents are not even gathered in one.
+RUN, SALTED = 4_000, 100_000
 PART_ROWS = 400_000
 #: Members in a bin of an opened group, and queries that meet one copy of the bin.
-BIN, QUERIES = 256, 2_000
+BIN, QUERIES = 128, 256
+NO_ID = -(1 << 63)
 
 
 def text_hash(text: Column) -> Column:
@@ -47,14 +53,20 @@ def text_hash(text: Column) -> Column:
 
 
 def fetch(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """keys (doc_id, ...) with the texts of docs; a small table of keys goes to the texts, a large one is shuffled."""
+    """keys (at: doc_id or NO_ID, and text_hash; ...) with the texts of docs; a small table of keys goes to the
+    texts, a large one is shuffled."""
     small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.select("doc_id", "text").join(F.broadcast(keys) if small else keys, "doc_id")
+    return docs.select(place("doc_id", "text_hash"), "text").join(F.broadcast(keys) if small else keys, "at")
+
+
+def place(doc_id: str, hashed: str) -> Column:
+    return F.struct(F.coalesce(doc_id, F.lit(NO_ID)).alias("doc"), F.col(hashed).alias("hash")).alias("at")
 
 
 def matrix_rows(n: int, num: int, den: int, bits: int, codes: bytes, parts: int):
     """The matrix of rows (vid, gid, text) in sorted runs: part, tokens, gids, sizes (below 0 for shingles
-    that count only where the document is the larger one)."""
+    that count only where the document is the larger one). Parts from `parts` on hold very common shingles,
+    dealt out by the group too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(codes, np.uint8)
@@ -71,9 +83,12 @@ def matrix_rows(n: int, num: int, den: int, bits: int, codes: bytes, parts: int)
             first = (rank < prefix_size(sizes, 2 * num, num + den)[doc])[keep]
             tokens, owner = grams[order][keep], doc[keep]
             gids = block.rows.column("gid").to_numpy(zero_copy_only=False)[owner]
-            order = np.argsort(tokens)
-            tokens, gids, owner = tokens[order], gids[order], owner[order]
+            salts = np.exp2(level[(tokens >> np.uint64(64 - bits)).astype(np.int64)] / 8.0) // SALTED
+            salted = tokens + mix(gids.view(np.uint64)) % np.maximum(salts, 1).astype(np.uint64)
             part = ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            part = np.where(salts >= 1, parts + (mix(salted) % np.uint64(parts)).astype(np.int64), part)
+            order = np.lexsort((tokens, part))
+            tokens, gids, owner, part = tokens[order], gids[order], owner[order], part[order]
             cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
             ends = np.r_[cut[1:], len(part)]
             small = np.where(first[order], sizes[owner], -sizes[owner]).astype(np.int32)
@@ -91,60 +106,142 @@ def prefix_size(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.minimum(sizes, sizes - -(-num * sizes // den) + extra(sizes))
 
 
-def matrix_pairs(num: int, den: int):
-    """a, b, shared: for two groups, how many shingles are in the unions of both (of this part of the shingles)."""
-
-    def pairs(tokens: np.ndarray, gids: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.lexsort((gids, tokens))
-        tokens, gids, sizes = tokens[order], gids[order], sizes[order]
-        head = np.flatnonzero(np.r_[True, (tokens[1:] != tokens[:-1]) | (gids[1:] != gids[:-1])])
-        n = np.abs(sizes)
-        low, high = np.minimum.reduceat(n, head), np.maximum.reduceat(n, head)
-        # the smallest member for which the shingle counts as the smaller document of a pair
-        least = np.minimum.reduceat(np.where(sizes > 0, n, np.iinfo(np.int32).max), head)
-        tokens, gids = tokens[head], gids[head]
-        run = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        length = np.diff(np.r_[run, len(tokens)])
-        end = np.repeat(run + length, length)
-        at = np.arange(len(tokens))
-        for d in range(1, int(length.max())):
-            # each row with the one d places on in its run
-            at = at[end[at] > at + d]
-            to = at + d
-            fit = (den * high[at] >= num * low[to]) & (den * high[to] >= num * low[at])
-            # of two of one size, both count as the smaller
-            equal = ((least[at] == high[to]) & (least[to] <= high[at])) | ((least[to] == high[at]) & (least[at] <= high[to]))
-            fit &= (least[at] < high[to]) | (least[to] < high[at]) | equal
-            yield gids[at[fit]], gids[to[fit]]
-
-    def counted(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+FOUND = "a long, b long, shared long, token long, low int, high int, least int"
+_NONE = np.iinfo(np.int32).max
+
+
+def merged(tokens: np.ndarray, gids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """token, gid, least and greatest size of its members with the token, and the least of those for which it counts
+    as the smaller document's: one row a token and group, in order of token and size."""
+    order = np.lexsort((gids, tokens))
+    tokens, gids, sizes = tokens[order], gids[order], sizes[order]
+    head = np.flatnonzero(np.r_[True, (tokens[1:] != tokens[:-1]) | (gids[1:] != gids[:-1])])
+    n = np.abs(sizes)
+    low, high = np.minimum.reduceat(n, head), np.maximum.reduceat(n, head)
+    least = np.minimum.reduceat(np.where(sizes > 0, n, _NONE), head)
+    tokens, gids = tokens[head], gids[head]
+    order = np.lexsort((low, tokens))
+    return tuple(x[order] for x in (tokens, gids, low, high, least))
+
+
+def fitting(tokens, gids, low, high, least, num: int, den: int, sides: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of groups in a token's run whose sizes let them link (of different sides only, where sides has some).
+    Rows are as merged orders them, so a row leaves once the sizes after it are too large."""
+    run = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    length = np.diff(np.r_[run, len(tokens)])
+    end = np.repeat(run + length, length)
+    low, high = low.astype(np.int64), high.astype(np.int64)
+    at, d = np.arange(len(tokens)), 0
+    while len(at):
+        d += 1
+        at = at[end[at] > at + d]
+        at = at[den * high[at] >= num * low[at + d]]
+        to = at + d
+        # of two of one size, both count as the smaller
+        equal = ((least[at] == high[to]) & (least[to] <= high[at])) | ((least[to] == high[at]) & (least[at] <= high[to]))
+        fit = (least[at] < high[to]) | (least[to] < high[at]) | equal
+        if sides is not None:
+            fit &= (sides[at] == 0) | (sides[at] != sides[to])
+        x, y = gids[at[fit]], gids[to[fit]]
+        yield np.minimum(x, y), np.maximum(x, y)
+
+
+def counted(pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """a, b, shared of pairs, added up in batches."""
+
+    def made() -> pa.RecordBatch:
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array(b[head]), pa.array(np.diff(np.r_[head, len(a)]))], ["a", "b", "shared"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-            arrays = [np.concatenate([np.frombuffer(h[k], t) for h in held]) for k, t in enumerate((np.uint64, np.int64, np.int32))]
+    found, size = [], 0
+    for x, y in pairs:
+        found.append((x, y))
+        size += len(x)
+        if size > most:
+            yield made()
             found, size = [], 0
-            for x, y in pairs(*arrays):
-                found.append((x, y))
-                size += len(x)
-                if size > 2_000_000:
-                    yield counted(found)
-                    found, size = [], 0
-            if found:
-                yield counted(found)
+    if found:
+        yield made()
+
+
+def matrix_pairs(num: int, den: int, parts: int):
+    """FOUND: for two groups (a, b), how many shingles are in the unions of both (of this part of the shingles); or, of
+    shingles with over RUN groups or in a part from `parts` on, the matrix's row: a is the group, b is null."""
+
+    def widened(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nulls = [pa.nulls(batch.num_rows, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+        return pa.RecordBatch.from_arrays([*batch.columns, *nulls], [x.split()[0] for x in FOUND.split(", ")])
+
+    def solved(part: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = merged(*(np.concatenate([np.frombuffer(h[k], t) for h in held]) for k, t in enumerate((np.uint64, np.int64, np.int32))))
+        run = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+        length = np.diff(np.r_[run, len(rows[0])])
+        large = np.repeat((length > RUN) | (part >= parts), length)
+        yield from map(widened, counted(fitting(*(x[~large] for x in rows), num, den)))
+        if large.any():
+            tokens, gids, *rest = (x[large] for x in rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gids), pa.nulls(len(gids), pa.int64()), pa.nulls(len(gids), pa.int64()), pa.array(tokens.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in rest)], [x.split()[0] for x in FOUND.split(", ")]
+            )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
             for part, *payload in zip(*(batch.column(c).to_pylist() for c in ("part", "tokens", "gids", "sizes")), strict=True):
                 if part != now and held:
-                    yield from solved(held)
+                    yield from solved(now, held)
                     held = []
                 now = part
                 held.append(payload)
+        if held:
+            yield from solved(now, held)
+
+    return run
+
+
+CELL = "token long, i long, j long, side int, gid long, low int, high int, least int"
+
+
+def long_runs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, shared of the matrix's rows (token, gid, low, high, least) of common shingles: the groups of a shingle fall
+    into blocks of about RUN / 2, and each pair of blocks is a cell that one task pairs."""
+    sizes = staged(rows.groupBy("token").agg(F.count("*").alias("n")).select("token", F.ceil(F.col("n") / (RUN // 2)).alias("blocks")), "run-sizes")
+    few = sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    block = F.pmod(F.xxhash64("gid"), F.col("blocks"))
+    dealt = rows.join(F.broadcast(sizes) if few else sizes, "token").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    cells = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "gid", "low", "high", "least")
+    return cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(tidy(cell_pairs(num, den)), "a long, b long, shared long")
+
+
+def cell_pairs(num: int, den: int):
+    def solved(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        side, gid, low, high, least = (table.column(c).to_numpy() for c in ("side", "gid", "low", "high", "least"))
+        # a group of a salted shingle may come in several rows
+        order = np.lexsort((low, gid))
+        side, gid, low, high, least = (x[order] for x in (side, gid, low, high, least))
+        head = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]])
+        low, high, least, side, gid = np.minimum.reduceat(low, head), np.maximum.reduceat(high, head), np.minimum.reduceat(least, head), side[head], gid[head]
+        order = np.argsort(low, kind="stable")
+        side, gid, low, high, least = (x[order] for x in (side, gid, low, high, least))
+        yield from counted(fitting(np.zeros(len(gid), np.int64), gid, low, high, least, num, den, side))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("token", "i", "j")], 1)
+            cut = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, np.int64)
+            for i, j in zip(cut, np.r_[cut[1:], len(keys)], strict=True):
+                key = tuple(keys[i])
+                if key != now and held:
+                    yield from solved(held)
+                    held = []
+                now = key
+                held.append(batch.slice(i, j - i))
         if held:
             yield from solved(held)
 
@@ -230,7 +327,7 @@ def opener(num: int, den: int):
 
 def _sets(docs: DataFrame, vertices: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     """vid, set of the vertices in needed."""
-    keys = vertices.join(needed, "vid").select("doc_id", "vid")
+    keys = vertices.join(needed, "vid").select("at", "vid")
     return fetch(docs, keys).select("vid", "text").mapInArrow(setter(n), "vid long, set binary").dropDuplicates(["vid"])
 
 
@@ -258,7 +355,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     Words are runs of characters other than 0x20 and 0x09-0x0D, with A-Z lower-cased; a document's set
     is its distinct n-word shingles, or its whole sequence if it has fewer words. Two documents link if
     den * |intersection| >= num * |union|. A null, empty or blank text has 0 shingles and is alone.
-    Rows that repeat are linked by their equal sets; a null doc_id is not the smallest of others.
+    Rows that repeat are linked by their equal sets; a null doc_id is not the smallest of others, and
+    rows with one link like others (component_id is null if all of a component have none).
     Empty input: no rows. Only doc_id and text are read. Shingles and sets are told apart by 64-bit
     and 128-bit hashes.
     """
@@ -268,7 +366,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     signed = staged(docs.mapInArrow(signer(n, bits), SIGNED), "signed")
     told = signed.where("cells is null").select("doc_id", "text_hash", "n_shingles", "s1", "s2", "sig")
     some = told.where("n_shingles > 0")
-    vertices = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    vertices = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min(place("doc_id", "text_hash")).alias("at"), F.max("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     vertices = staged(vertices.withColumnRenamed("s1", "vid"), "vertices")
 
     first_links = verified(docs, vertices, band_pairs(vertices), n, num, den)
@@ -278,14 +376,18 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 
     cells = signed.where("cells is not null").select("s1", "cells").repartition("s1").mapInArrow(summed_cells(bits), "s1 long, cells binary").collect()
     slices = {r["s1"]: bytes(r["cells"]) for r in cells}
-    width = min(1 << bits, 1 << 16)
+    width = min(1 << bits, 1 << SLICE_BITS)
     codes = b"".join(slices.get(k, bytes(width)) for k in range((1 << bits) // width))
     total = some.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(1, math.ceil(total * (1 - num / den + 1 / EXTRA) / PART_ROWS))
     shared_codes = docs.sparkSession.sparkContext.broadcast(codes)
-    rows = fetch(docs, labelled.select("doc_id", "vid", "gid")).select("vid", "gid", "text")
+    rows = fetch(docs, labelled.select("at", "vid", "gid")).select("vid", "gid", "text")
     rows = rows.mapInArrow(_with_broadcast(n, num, den, bits, shared_codes, parts), "part long, tokens binary, gids binary, sizes binary")
-    found = rows.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(matrix_pairs(num, den)), "a long, b long, shared long")
+    found = staged(rows.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(matrix_pairs(num, den, parts)), FOUND), "matrix")
+    common = found.where("token is not null").select("token", F.col("a").alias("gid"), "low", "high", "least")
+    found = found.where("token is null").select("a", "b", "shared")
+    if not common.isEmpty():
+        found = found.unionByName(long_runs(common, num, den))
     bound = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     least = labelled.groupBy("gid").agg(F.min(1 + F.floor(F.col("n_shingles") / EXTRA)).alias("l"))
     opened = bound.join(least.select(F.col("gid").alias("a"), F.col("l").alias("la")), "a").join(least.select(F.col("gid").alias("b"), F.col("l").alias("lb")), "b").where("shared >= least(la, lb)").select("a", "b")

@@ -57,25 +57,28 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: f
 
     The count depends on doc_id, the seed and the source's rate only, so repeated rows get equal
     counts. A null text counts as one byte, a null source as the source '', a null doc_id as 'null'.
-    Rows whose count is 0 leave. Empty input: no rows. Columns of docs named rate, copies, copy or
-    shuffle_key are replaced.
+    Rows whose count is 0 leave. shuffle_key is a hash of doc_id, seed, copy and the row's place in
+    docs, so that rows that share a doc_id are dealt out too. Empty input: no rows. Columns of docs
+    named rate, copies, copy or shuffle_key are replaced; those of other names, whatever they are, stay.
     """
-    clash = [c for c in docs.columns if c in ("rate", "copies", "copy", "shuffle_key", "_source", "_cdf", "_parts")]
-    docs = docs.drop(*clash)
+    made = ("rate", "copies", "copy", "shuffle_key")
+    own = [c for c in docs.columns if c.lower() not in made]
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    # the row travels as one struct, so that no working column can clash with its own
+    rows = docs.select(F.struct(*own).alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"), doc.alias("doc"), F.monotonically_increasing_id().alias("place"))
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
-    table = rates(docs, weights, alpha, total).select(F.col("source").alias("_source"), "rate", parts.alias("_parts"), poisson_cdf(F.col("rate") / parts).alias("_cdf"))
-    joined = docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).join(F.broadcast(table) if bounded(table) else table, "_source")
-    draw = lambda k: F.size(F.filter("_cdf", lambda c: c <= uniform(F.lit(seed), doc, k)))
-    copies = F.aggregate(F.sequence(F.lit(0), F.col("_parts") - 1), F.lit(0), lambda a, k: a + draw(k))
-    drawn = joined.withColumn("copies", copies).where("copies > 0").drop("_source", "_cdf", "_parts")
+    table = rates(docs, weights, alpha, total).select(F.col("source").alias("name"), "rate", parts.alias("parts"), poisson_cdf(F.col("rate") / parts).alias("cdf"))
+    joined = rows.join(F.broadcast(table) if bounded(table) else table, "name")
+    draw = lambda k: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), F.col("doc"), k)))
+    copies = F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda a, k: a + draw(k))
+    drawn = joined.withColumn("copies", copies).where("copies > 0")
     copied = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    return copied.withColumn("shuffle_key", F.xxhash64(F.lit(seed), doc, F.col("copy")))
+    return copied.select("row.*", "rate", "copies", "copy", F.xxhash64(F.lit(seed), "doc", "copy", "place").alias("shuffle_key"))
 
 
 def bounded(table: DataFrame, most: int = 10_000) -> bool:
     """Whether the table has at most `most` rows, and so may be broadcast; others are joined by a shuffle."""
-    return table.select("_source").limit(most + 1).count() <= most
+    return table.select("name").limit(most + 1).count() <= most
 
 
 def shuffled(copied: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quire.runtime import staged
+
 _M = 2862933555777941757
 _BITS = 22
 _MASK = (1 << _BITS) - 1
@@ -55,22 +57,20 @@ def jump_pair(key: Column, shards: int) -> Column:
 def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", rows_per_block: int = 5_000) -> DataFrame:
     """One row per input row: the key, size, text_crc32, law 'key', shard, slot, grown_shard.
 
-    size: UTF-8 bytes of the text plus 16 (null text: 16). slot: gapless from 0 within the shard,
-    by blocks of the key's hash. Each shard is numbered in blocks of about rows_per_block rows and
-    block offsets are prefix sums of counts, so no task holds a whole shard. Repeated keys and rows
-    go to the same shard, in slots of their own. A null key counts as 0. Empty input: no rows.
-    Other columns, whatever their names, are not read.
+    size: UTF-8 bytes of the text plus 16 (null text: 16). slot: gapless from 0 within the shard. Each
+    shard is numbered in blocks of about rows_per_block rows and block offsets are prefix sums of
+    counts, so no task holds a whole shard. The block is a hash of the row with its place in a written
+    table, so that even one row repeated (a null key, say) is spread over its shard's blocks. Repeated
+    keys and rows go to the same shard, in slots of their own. A null key counts as 0. Empty input: no
+    rows. Other columns, whatever their names, are not read.
     """
     text_col, key_col = F.coalesce(F.col(text), F.lit("")), F.col(key)
-    n = docs.select(key).count()
-    per_shard = max(1, math.ceil(n / (shards * rows_per_block)))
-    rows = docs.select(
-        key_col.alias("doc_id"),
-        (F.octet_length(text_col) + 16).cast("long").alias("size"),
-        F.crc32(text_col.cast("binary")).cast("long").alias("text_crc32"),
-        jump_pair(key_col, shards).alias("j"),
-        F.pmod(F.xxhash64(key_col), F.lit(per_shard)).cast("int").alias("block"),
-    ).select("doc_id", "size", "text_crc32", "j.shard", "j.grown_shard", "block")
+    rows = staged(docs.select(
+        key_col.alias("doc_id"), (F.octet_length(text_col) + 16).cast("long").alias("size"), F.crc32(text_col.cast("binary")).cast("long").alias("text_crc32"),
+        jump_pair(key_col, shards).alias("j"), F.xxhash64(key_col, F.monotonically_increasing_id()).alias("place"),
+    ), "sharded")
+    per_shard = max(1, math.ceil(rows.count() / (shards * rows_per_block)))
+    rows = rows.select("doc_id", "size", "text_crc32", "j.shard", "j.grown_shard", F.pmod("place", F.lit(per_shard)).cast("int").alias("block"))
     counts = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = counts.select(
         "shard", "block",

@@ -83,7 +83,7 @@ def signer(n: int, bits: int):
 
 
 #: The cells of the frequency sketch are shipped in slices of this many.
-SLICE_BITS = 16
+SLICE_BITS = 12
 
 
 def summed_cells(bits: int):

@@ -187,6 +187,19 @@ def test_sharding(docs, odd, empty):
     assert sharding.shard(empty, 7).count() == 0
 
 
+def test_one_repeated_row_is_spread(spark):
+    """A null doc_id with one text, in a third of all rows, meets in no one block and in no one task."""
+    rows = spark.createDataFrame([(None if i % 3 == 0 else i, "hot" if i % 3 == 0 else f"t{i}", "s") for i in range(6000)], "doc_id long, text string, source string").repartition(4)
+    got = sharding.shard(rows, 2, rows_per_block=100).collect()
+    for k in (0, 1):
+        own = [r for r in got if r.shard == k]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+    hot = sorted(r.slot for r in got if r.doc_id is None)
+    assert len(hot) == 2000 and hot[-1] - hot[0] > 2500
+    copied = mixing.replicate(rows, total=2.0).where("doc_id is null")
+    assert copied.select("shuffle_key").distinct().count() == copied.count() > 1000
+
+
 # mixing
 
 
@@ -215,6 +228,9 @@ def test_mixing(docs, odd, empty):
         assert Counter((r.doc_id, r.source, r.text) for r in got) == +want
     assert mixing.replicate(empty).count() == 0 and mixing.replicate(docs, weights={}).count() == 0
     assert "h1" in mixing.replicate(odd).columns
+    clashing = docs.selectExpr("*", "doc_id as name", "'x' as cdf", "source as doc", "1 as place", "2 as parts", "3 as row", "4 as _source", "5 as Copies")
+    made = mixing.replicate(clashing)
+    assert made.columns == [*clashing.columns[:-1], "rate", "copies", "copy", "shuffle_key"] and made.where("name is distinct from doc_id or doc is distinct from source").isEmpty()
 
 
 # host rules
@@ -247,3 +263,18 @@ def test_bad_hosts_go(spark):
     assert all(r.kept for r in got if r.host.startswith("h")) and not any(r.kept for r in got if r.host == "spam")
     tiny = {r.doc_id: r for r in got if r.host == "tiny"}
     assert tiny[5001].kept and tiny[5001].host_rate < 0.5
+
+
+def test_prior_of_small_hosts(spark):
+    """What sampling explains is no variance of the hosts: hosts of one document each get the mean."""
+    good, bad = " ".join(f"word{i}" for i in range(30)), "few words"
+    rows = [(i, bad if i % 5 == 0 else good, f"h{i}") for i in range(300)]
+    got = host_rules.host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.host_rate for r in got} == {0.2}
+    assert host_rules.beta_prior(0, 0, 0, 0, 0) == (0, host_rules.NO_VARIANCE)
+    # hosts of 50 documents whose rates differ by more: a strength near the one that they were drawn with
+    rng = np.random.default_rng(0)
+    p = rng.beta(0.3 * 8, 0.7 * 8, 4000)
+    x, n = rng.binomial(50, p).astype(float), 50.0
+    m, strength = host_rules.beta_prior(n * len(x), x.sum(), len(x), n * n * len(x), (x * x / n).sum())
+    assert abs(m - 0.3) < 0.02 and abs(strength - 8) < 0.8

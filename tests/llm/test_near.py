@@ -57,9 +57,11 @@ def test_documents(docs):
     same(docs, 4, 85, 100)
 
 
-@pytest.mark.parametrize("n, num", [(4, 85), (5, 80), (2, 50)])
-def test_near_copies(spark, monkeypatch, n, num):
-    """Chains and clusters of near copies round the threshold; small bins and parts."""
+@pytest.mark.parametrize("n, num, run, salted", [(4, 85, 4000, 100_000), (5, 80, 4000, 100_000), (2, 50, 4, 3), (2, 50, 4, 100_000), (4, 85, 4, 2)])
+def test_near_copies(spark, monkeypatch, n, num, run, salted):
+    """Chains and clusters of near copies round the threshold; small bins and parts; shingles with many groups in cells."""
+    monkeypatch.setattr(jaccard, "RUN", run)
+    monkeypatch.setattr(jaccard, "SALTED", salted)
     monkeypatch.setattr(jaccard, "BIN", 3)
     monkeypatch.setattr(jaccard, "QUERIES", 2)
     monkeypatch.setattr(jaccard, "PART_ROWS", 50)
@@ -84,6 +86,15 @@ def test_odd_rows(odd, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_near_copies_without_ids(spark):
+    """Near copies link by their texts even where doc_id is null."""
+    base = [f"w{i}" for i in range(40)]
+    rows = [(None, " ".join(base)), (None, " ".join([*base[:-1], "x"])), (None, "quite another text of some words"), (9, " ".join(["y", *base[1:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, 4, 85, 100).collect()}
+    assert got == {(None, 37, 9), (9, 37, 9), (None, 3, None)}
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(50)]
