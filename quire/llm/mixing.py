@@ -65,7 +65,7 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: f
     own = [c for c in docs.columns if c.lower() not in made]
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     # the row travels as one struct, so that no working column can clash with its own
-    rows = docs.select(F.struct(*own).alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"), doc.alias("doc"), F.monotonically_increasing_id().alias("place"))
+    rows = docs.select(F.struct(*own).alias("packed"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"), doc.alias("doc"), F.monotonically_increasing_id().alias("place"))
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
     table = rates(docs, weights, alpha, total).select(F.col("source").alias("name"), "rate", parts.alias("parts"), poisson_cdf(F.col("rate") / parts).alias("cdf"))
     joined = rows.join(F.broadcast(table) if bounded(table) else table, "name")
@@ -73,7 +73,7 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: f
     copies = F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda a, k: a + draw(k))
     drawn = joined.withColumn("copies", copies).where("copies > 0")
     copied = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    return copied.select("row.*", "rate", "copies", "copy", F.xxhash64(F.lit(seed), "doc", "copy", "place").alias("shuffle_key"))
+    return copied.select("packed.*", "rate", "copies", "copy", F.xxhash64(F.lit(seed), "doc", "copy", "place").alias("shuffle_key"))
 
 
 def bounded(table: DataFrame, most: int = 10_000) -> bool:

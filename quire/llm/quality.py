@@ -165,13 +165,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     return described.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs with score and predicted, as quality_scores gives them, row by row and without a join."""
+def with_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_broadcast: int = 1_000_000) -> DataFrame:
+    """docs with score and predicted, as quality_scores gives them, row by row and without a join. Columns of docs that
+    have these two names are replaced.
+
+    Only labelled rows are described to learn from them. Up to most_broadcast labels (about 16 MB) go to the documents;
+    with more, all rows that aren't held out are described where they lie and joined by their statistics alone.
+    """
     bound_batches(docs.sparkSession)
-    rows = docs.withColumn("held_out", held_out_rows())
-    described = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out").mapInArrow(describe, "doc_id long, held_out boolean, x array<double>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out_rows().alias("held_out")).where(~F.col("held_out"))
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(described.where(~F.col("held_out")).join(known, "doc_id").select("label", "x")))
+    known = staged(known.where(~held_out_rows()), "labels")
+    if known.count() <= most_broadcast:
+        rows = rows.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    described = rows.mapInArrow(describe, "doc_id long, held_out boolean, x array<double>")
+    model = docs.sparkSession.sparkContext.broadcast(fit(described.join(known, "doc_id").select("label", "x")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, most=BLOCK):

@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network over all overlapping windows of a text.
 
-Trained in numpy on the driver, on windows of a bounded sample of labelled documents. Labels are of
+Trained in numpy on the driver, on all windows of a bounded sample of labelled documents. Labels are of
 documents; the windows of a toxic one that count as toxic are those with a word whose parts toxic
 documents use far more often than others, and its likeliest one. A document's logit is that of its
 most toxic window, calibrated on documents of the sample that were set aside.
@@ -59,23 +59,20 @@ def logits(net: Network, block: Block, batch: int = 2048) -> np.ndarray:
     return out
 
 
-def sample_windows(most: int):
-    """doc_id, toxic and up to `most` windows of each text (words, and pieces of long ones, parted by blanks), chosen by hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            data = lower_ascii(block.data)
-            starts, ends, first = split_long(*spans(data, block.offsets))
-            table, doc = window_table(first)
-            order = np.lexsort((mix(np.arange(len(doc), dtype=np.uint64)), doc))
-            rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            chosen = order[rank < most]
-            raw = data.tobytes()
-            texts = [b" ".join(raw[starts[k] : ends[k]] for k in range(a, b)) for a, b in table[chosen]]
-            rows = pa.array(doc[chosen])
-            yield pa.RecordBatch.from_arrays([block.rows.column(c).take(rows) for c in ("doc_id", "toxic")] + [pa.array(texts, pa.binary())], ["doc_id", "toxic", "window"])
-
-    return run
+def sample(rows: DataFrame, known: DataFrame, most_docs: int, most_bytes: int) -> pa.Table:
+    """doc_id, toxic, text of the labelled rows to learn from, as toxicity_scores tells. Of rows that share a labelled
+    doc_id the one whose text has the least hash counts, so that a repeated doc_id gathers nothing unbounded."""
+    picked = [known.where(F.col("toxic") == k).withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(most_docs) for k in (0, 1)]
+    hashed = rows.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    sizes = hashed.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("toxic", "turn", "doc_id").agg(F.min(F.struct("hash", F.octet_length("text").alias("bytes"))).alias("first"))
+    taken, spent = [], {0: 0, 1: 0}
+    for r in sorted(sizes.collect(), key=lambda r: (r["turn"], r["doc_id"])):
+        spent[r["toxic"]] += r["first"]["bytes"]
+        if spent[r["toxic"]] <= most_bytes or spent[r["toxic"]] == r["first"]["bytes"]:
+            taken.append((r["doc_id"], r["toxic"], r["first"]["hash"]))
+    chosen = rows.sparkSession.createDataFrame(taken, "doc_id long, toxic int, hash long")
+    found = hashed.join(F.broadcast(chosen), ["doc_id", "hash"]).groupBy("doc_id", "toxic").agg(F.first("text").alias("text"))
+    return found.toArrow().sort_by("doc_id")
 
 
 def evidence(words: Words, index: np.ndarray, mask: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -99,14 +96,18 @@ def evidence(words: Words, index: np.ndarray, mask: np.ndarray, doc: np.ndarray,
 
 
 def fit(docs: np.ndarray, toxic: np.ndarray, texts: list[bytes], prior: float = 0.5, steps: int = 900, rounds: int = 10, batch: int = 256, strong: float = 1.0, seed: int = 3) -> Model:
-    """A model from windows: each with its document and the document's label. A fifth of the documents calibrate,
-    for a share `prior` of toxic ones among all."""
+    """A model from all windows of labelled texts. A fifth of the documents calibrate, for a share `prior` of toxic ones
+    among all. Half of a batch are windows that count as toxic."""
     if len(set(toxic.tolist())) < 2:
         return Model(Network(), 1.0, 0.0, float(toxic[0]) if len(toxic) else 0.5)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     data, starts, ends, first = _read(np.frombuffer(b"".join(texts), np.uint8), offsets)
     words, places = distinct_words(data, starts, ends)
-    index, mask = _index(places, np.stack([first[:-1], first[1:]], 1), len(words.rows))
+    table, of = window_table(first)
+    index, mask = _index(places, table, len(words.rows))
+    docs, toxic = docs[of], toxic[of]
+    if len(set(toxic.tolist())) < 2:
+        return Model(Network(), 1.0, 0.0, float(toxic[0]) if len(toxic) else 0.5)
     kinds, doc = np.unique(docs, return_inverse=True)
     label = np.zeros(len(kinds), int)
     label[doc] = toxic
@@ -120,15 +121,21 @@ def fit(docs: np.ndarray, toxic: np.ndarray, texts: list[bytes], prior: float =
     np.maximum.at(best, doc[~aside], sign)
     target = np.zeros(len(doc), np.float32)
     target[~aside] = (toxic[~aside] == 1) & ((sign >= strong) | (sign == best[doc[~aside]]))
-    weight = np.where(target == 1, max((target[~aside] == 0).sum() / max(target.sum(), 1), 1.0), 1.0).astype(np.float32)
-    done, use = 0, np.flatnonzero(~aside)
-    steps = min(steps, rounds * -(-len(use) // batch))
-    while done < steps:
-        rng.shuffle(use)
-        for i in range(0, len(use), batch):
-            at = use[i : i + batch]
-            trainer.step(words, index[at], mask[at], target[at], weight[at], rng)
-            done += 1
+    use = [np.flatnonzero(~aside & (target == k)) for k in (0, 1)]
+    left: list[np.ndarray] = [np.zeros(0, np.int64)] * 2
+
+    def draw(k: int, n: int) -> np.ndarray:
+        """The next n windows of a kind, in shuffled rounds over all of them."""
+        while len(left[k]) < n:
+            left[k] = np.concatenate([left[k], rng.permutation(use[k])])
+        out, left[k] = left[k][:n], left[k][n:]
+        return out
+
+    steps = min(steps, rounds * -(-int((~aside).sum()) // batch))
+    one = np.ones(2 * (batch // 2), np.float32)
+    for _ in range(steps if all(map(len, use)) else 0):
+        at = np.concatenate([draw(0, batch // 2), draw(1, batch // 2)])
+        trainer.step(words, index[at], mask[at], target[at], one, rng)
     now = _all_logits(net, words, index, mask)
     top = np.full(len(kinds), -np.inf)
     np.maximum.at(top, doc, now)
@@ -155,14 +162,15 @@ def calibrated(top: np.ndarray, label: np.ndarray, rounds: int = 200) -> tuple[f
     return max(float(a), 0.05), float(b)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_docs: int = 800, most_windows: int = 40) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_docs: int = 800, most_bytes: int = 8 << 20) -> DataFrame:
     """One row per input row: doc_id, held_out, score (of label 1), predicted.
 
     labels: doc_id, toxic (rows with null are ignored; of a document's labels the largest counts).
-    Learns from labelled rows that aren't held out: at most most_docs of each label, the first by a
-    hash of doc_id, and most_windows windows of each. Every window of every text is scored. A null,
-    empty or blank text scores 0. Without both labels all scores are the one label, 0.5 without any.
-    Repeated rows get equal scores. Empty input: no rows. Only doc_id and text are read.
+    Learns from labelled rows that aren't held out: of each label, in the order of a hash of doc_id, up
+    to most_docs rows and until their whole texts have most_bytes (one at least), with all of their
+    windows. Every window of every text is scored. A null, empty or blank text scores 0. Without both
+    labels all scores are the one label, 0.5 without any. Repeated rows get equal scores. Empty input:
+    no rows. Only doc_id and text are read.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -170,11 +178,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out_rows())
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     prior = (totals.get(1, 0) + 1) / (totals.get(0, 0) + totals.get(1, 0) + 2)
-    picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs) for k in (0, 1)]
-    chosen = F.broadcast(picked[0].unionByName(picked[1]))
-    found = rows.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(sample_windows(most_windows), "doc_id long, toxic int, window binary").toArrow()
-    found = found.sort_by([("doc_id", "ascending"), ("window", "ascending")])
-    model = spark.sparkContext.broadcast(fit(found.column("doc_id").to_numpy(), found.column("toxic").to_numpy(), [bytes(x) for x in found.column("window").to_pylist()], prior))
+    found = sample(rows, known, most_docs, most_bytes)
+    model = spark.sparkContext.broadcast(fit(found.column("doc_id").to_numpy(), found.column("toxic").to_numpy(), [x.encode() for x in found.column("text").to_pylist()], prior))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import gru, licenses, lm, quality, toxicity, words
@@ -74,6 +75,39 @@ def test_quality_against_density():
     assert np.allclose(model.score(point), want, atol=1e-4)
 
 
+def plain_statistics(text):
+    """The statistics of a text, straight from their definitions."""
+    def odds(k, m):
+        return math.log((k + 0.5) / (max(m - k, 0) + 0.5))
+
+    raw = text.encode()
+    w = re.findall(rb"[^\x20\x09-\x0d]+", raw.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))))
+    n = len(w)
+    rate = lambda k: math.log((k + 0.5) / (n + 1))
+    grams = [tuple(w[i : i + 5]) for i in range(n - 4)] or ([tuple(w)] if w else [])
+    lines = raw.split(b"\n")
+    lines = (lines if raw and not raw.endswith(b"\n") else lines[:-1]) if raw else []
+    count = lambda s: sum(raw.count(bytes([c])) for c in s)
+    upper, lower = count(range(65, 91)), count(range(97, 123))
+    return [
+        math.log1p(n), math.log((sum(map(len, w)) + 5) / (n + 1)), rate(count(b"#*$%&<>@^~=+\\{}[]_")), odds(upper, upper + lower), rate(count(b"!?")), rate(count(b".,;:")), rate(count(b"0123456789")),
+        odds(len(grams) - len(set(grams)), len(grams)), odds(len(set(w)), n), rate(len(lines)), odds(len(lines) - len(set(lines)), len(lines)), odds(count(range(192, 256)), len(raw)), rate(count(b"|")),
+        rate(sum(a == b for a, b in zip(w, w[1:]))),
+    ]
+
+
+def test_statistics(docs):
+    texts = [r.text for r in docs.select("text").limit(80).collect()] + [r[1] or "" for r in odd_rows()] + ["Same SAME same|x", "\n\n", "a\na\n", "a\na", "x " * 9]
+    got = quality.statistics(block(*texts))
+    assert np.allclose(got, [plain_statistics(t) for t in texts])
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_pipeline_scores_equal_the_query(spark, docs, labels, most):
+    scores = {(r.doc_id, round(r.score, 9)) for r in quality.quality_scores(docs, labels).collect()}
+    assert {(r.doc_id, round(r.score, 9)) for r in quality.with_quality(docs, labels, most_broadcast=most).collect()} == scores
+
+
 def test_quality_odd_rows(spark, odd, empty, labels):
     none = labels.limit(0)
     made = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (9, 0, 1), (4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
@@ -241,6 +275,20 @@ def test_toxicity_without_blanks(spark):
     assert np.mean([r.predicted == r.toxic for r in got]) >= 0.93
 
 
+def test_toxicity_sample_is_whole(spark):
+    """Texts are taken whole; a repeated doc_id counts once; the bounds are on rows and bytes of each label."""
+    long = " ".join(f"w{i}" for i in range(5000))
+    rows = spark.createDataFrame([(i, f"{long} {i}") for i in range(40)] + [(0, f"copy {i}") for i in range(50)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    texts = {(r.doc_id, r.text) for r in rows.collect()}
+    every = toxicity.sample(rows, known, 800, 1 << 30).to_pylist()
+    assert len(every) == 40 and all((r["doc_id"], r["text"]) in texts for r in every)
+    assert sorted(r["toxic"] for r in toxicity.sample(rows, known, 5, 1 << 30).to_pylist()) == [0] * 5 + [1] * 5
+    few = toxicity.sample(rows, known, 800, 3 * len(long)).to_pylist()
+    assert {r["toxic"] for r in few} == {0, 1} and len(few) < 10
+    assert sorted(r["toxic"] for r in toxicity.sample(rows, known, 800, 1).to_pylist()) == [0, 1]
+
+
 def test_toxicity_odd_rows(spark, odd, empty, labels):
     made = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (9, 0, 1), (2, 1, 0), (12, 1, 0), (4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for known in (labels.limit(0), made):

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from quire.llm import jaccard
+from quire.llm import jaccard, quality
 from quire.llm.components import components
 from quire.runtime import staged
 
@@ -146,5 +152,56 @@ def test_pipeline_odd_rows(spark, odd, empty, sf):
     assert blank <= near.count() <= blank + len(groups)
 
 
-def test_run(spark, sf):
-    assert P.run(spark, sf).where("length > 0").count() > 0 and [n for n, _ in P.STAGES] == ["quality_classifier", "exact_dedup", "ngram_jaccard", "source_mixing", "packing"]
+def test_pipeline_keeps_clashing_columns(spark, docs, sf):
+    """Columns named like the operators' own come back as they were, from every stage that returns documents."""
+    names = ["row", "key", "mark", "_key", "_mark", "rate", "copies", "copy", "shuffle_key", "name", "doc", "place", "parts", "cdf", "packed", "_source", "_cdf", "_parts", "score", "predicted", "held_out", "kept", "repeats", "first", "group_id", "a.b"]
+    wide = docs.select("*", *(F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for name, stage in P.STAGES[:-1]:
+        made = staged(stage(spark, wide, sf), name)
+        assert made.columns == wide.columns and made.count() > 0
+        assert made.where(F.exists(F.array(*(F.col(f"`{n}`") != F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")) for n in names)), lambda x: x)).isEmpty()
+    assert staged(P.packing(spark, wide, sf), "packed").count() > 0
+
+
+def test_run(spark, sf, docs):
+    """The whole pipeline against a plain version of its stages; the scores of quality are those of the operator, tested apart."""
+    assert [n for n, _ in P.STAGES] == ["quality_classifier", "exact_dedup", "ngram_jaccard", "source_mixing", "packing"]
+    scores = {r.doc_id: r.score for r in quality.quality_scores(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    rows = [(r.doc_id, r.text or "", r.source or "") for r in docs.collect() if scores[r.doc_id] >= 0.3]
+    last = {}
+    for r in rows:
+        last[r[1]] = max(last.get(r[1], r), r)
+    rows = sorted(last.values())
+    stay = {c if n else i for i, n, c in brute([r[:2] for r in rows], 5, 80, 100)}
+    rows = [r for r in rows if r[0] in stay]
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.encode()) + 1
+    roots = sum(math.sqrt(b) for b in sizes.values())
+    exact = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    want = {}
+    for i, text, source in rows:
+        rate = math.sqrt(sizes[source]) / roots * sum(sizes.values()) / sizes[source]
+        u = int(hashlib.md5(f"17:{i}:0".encode()).hexdigest()[:13], 16) / (1 << 52)
+        n, p = 0, math.exp(-rate)
+        cdf = p
+        while cdf <= u:
+            n += 1
+            p *= rate / n
+            cdf += p
+        if n:
+            want[i] = (n, np.array([*exact.encode(text, add_special_tokens=False).ids, 1], "<u4"))
+    pieces = P.run(spark, sf).collect()
+    sequences, tokens = defaultdict(list), Counter()
+    for r in pieces:
+        n, ids = want[r.doc_id]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        sequences[r.sequence_id].append((r.offset, r.length))
+        tokens[r.doc_id] += r.length
+    assert tokens == {i: n * len(ids) for i, (n, ids) in want.items()}
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
