@@ -19,30 +19,36 @@ from quire.llm.quality import with_quality
 from quire.runtime import staged
 
 
+def whole(docs: DataFrame) -> Column:
+    """A row of docs as one column, so that no working column of an operator can clash with its own."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def chosen_rows(docs: DataFrame, rows: DataFrame, mark: Column) -> DataFrame:
     """docs without the rows that rows (doc_id, mark, repeats, kept) tell to drop, by doc_id and mark (an
     expression of docs); of rows that agree in both and are kept (repeats > 1), one stays.
 
     The rows to drop are fewer than those to keep, so they are what moves (or is broadcast).
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    told = rows.select(key.alias("_key"), F.col("mark").alias("_mark"), "repeats", "kept")
-    marked = docs.withColumns({"_key": key, "_mark": mark})
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("key")
+    told = rows.select(key, "mark", "repeats", "kept")
+    marked = docs.select(whole(docs), key, mark.alias("mark"))
 
     def side(some: DataFrame) -> DataFrame:
-        some = some.select("_key", "_mark")
+        some = some.select("key", "mark")
         return F.broadcast(some) if some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else some
 
     more = told.where("kept and repeats > 1")
-    found = marked.join(side(told.where("not kept or repeats > 1")), ["_key", "_mark"], "left_anti").drop("_key", "_mark").select(*docs.columns)
+    found = marked.join(side(told.where("not kept or repeats > 1")), ["key", "mark"], "left_anti").select("row.*")
     if more.isEmpty():
         return found
-    return found.unionByName(marked.join(side(more), ["_key", "_mark"], "left_semi").dropDuplicates(["_key", "_mark"]).select(*docs.columns))
+    return found.unionByName(marked.join(side(more), ["key", "mark"], "left_semi").dropDuplicates(["key", "mark"]).select("row.*"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the discriminant does not reject (score of at least 0.3)."""
-    return with_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1").select(*docs.columns)
+    scored = with_quality(docs.select(whole(docs), "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("predicted = 1").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +71,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents so that sources have bytes in proportion to the root of their own, dealt out globally."""
-    return shuffled(replicate(docs)).select(*docs.columns)
+    return shuffled(replicate(docs.select(whole(docs), "doc_id", "source", "text"))).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
