@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from quire.config import Settings
 from quire.operators import ann, evaluate, fulltext, hashes, rank, store
+from quire.operators.index import VectorIndex
 from quire.runtime import staged
 
 
 @dataclass
 class SearchEngine:
-    """files, pages, regions and page_ocr are DataFrames of the store; tombstones (region_id) and postings are optional."""
+    """files, pages, regions and page_ocr are DataFrames of the store; tombstones (region_id) and postings are optional.
+    With an index, which has tombstones of its own, vectors are looked up there, else by an exact scan."""
 
     files: DataFrame
     pages: DataFrame
@@ -24,6 +26,7 @@ class SearchEngine:
     settings: Settings = field(default_factory=Settings)
     tombstones: DataFrame | None = None
     postings: DataFrame | None = None
+    index: VectorIndex | None = None
 
     def search(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         """Ranked results of queries: query_id and any of vector, phash and text (null or absent: that channel is silent)."""
@@ -33,7 +36,8 @@ class SearchEngine:
         empty = lambda schema: queries.sparkSession.createDataFrame([], schema)
         near = empty("query_id long, region_id long, product double")
         if "vector" in have:
-            near = ann.knn(queries.where("vector is not null"), regions.select("region_id", "vector"), s.ann_candidates(k), self.tombstones)
+            asked, most = queries.where("vector is not null"), s.ann_candidates(k)
+            near = self.index.search(asked, most) if self.index else ann.knn(asked, regions.select("region_id", "vector"), most, self.tombstones)
         close = empty("query_id long, region_id long, distance int")
         if "phash" in have:
             close = hashes.closest(hashes.within(queries, regions.select("region_id", "phash"), s.phash_threshold), s.phash_candidates)

@@ -48,12 +48,19 @@ def numbered(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
 def nearest_rank(df: DataFrame, keys: list[str], value: str, places: dict[str, float]) -> DataFrame:
     """keys and, for each name in places, the value at index round((n - 1) p) of the group's sorted non-null values.
 
-    Works on counts of distinct values with running sums, so no list of a group's values is gathered.
+    Counts of distinct values are dealt out by ranges of keys and values; sums of ranges tell which range of a group
+    holds a rank, and running sums are made inside these ranges only. So no list and no task holds a whole group.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    counts = counts.withColumns({"_upto": F.sum("_c").over(W.partitionBy(*keys).orderBy(value)), "_n": F.sum("_c").over(W.partitionBy(*keys))})
-    at = lambda p: F.min(F.when(F.col("_upto") > half_up((F.col("_n") - 1) * F.lit(p)), F.col(value)))
-    return counts.groupBy(*keys).agg(*(at(p).alias(name) for name, p in places.items()))
+    ranged = staged(counts.repartitionByRange(*keys, value).select(F.struct(*keys).alias("_k"), F.col(value).alias("_v"), "_c", F.spark_partition_id().alias("_range")), "ranks")
+    w = W.partitionBy("_k")
+    sums = ranged.groupBy("_k", "_range").agg(F.sum("_c").alias("_t")).withColumns({"_n": F.sum("_t").over(w), "_before": F.sum("_t").over(w.orderBy("_range")) - F.col("_t")})
+    wanted = F.array(*(half_up((F.col("_n") - 1) * F.lit(p)) for p in places.values()))
+    held = sums.withColumn("_at", wanted).where(F.exists("_at", lambda x: (x >= F.col("_before")) & (x < F.col("_before") + F.col("_t"))))
+    upto = F.col("_before") + F.sum("_c").over(W.partitionBy("_k", "_range").orderBy("_v"))
+    rows = ranged.join(held, ["_k", "_range"]).withColumn("_upto", upto)
+    found = rows.groupBy("_k").agg(*(F.min(F.when((F.col("_upto") > F.get("_at", F.lit(i))) & (F.col("_before") <= F.get("_at", F.lit(i))), F.col("_v"))).alias(name) for i, name in enumerate(places)))
+    return found.select("_k.*", *places)
 
 
 def union_all(*parts: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import half_up
 
@@ -99,6 +101,19 @@ def bgra_to_rgba(pixels: bytes) -> bytes:
     return np.frombuffer(pixels, np.uint8).reshape(-1, 4)[:, [2, 1, 0, 3]].tobytes()
 
 
+@F.pandas_udf(T.BinaryType())
+def rgba(pixels: pd.Series) -> pd.Series:
+    """Pixels of blue, green, red and alpha bytes with the red first."""
+    return pixels.map(lambda p: None if p is None else bgra_to_rgba(p))
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def tensor(rgb: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    """Images (three bytes a pixel) as normalised channels, one after another; null where the bytes don't fit the size."""
+    fits = lambda p, w, h: p is not None and len(p) == 3 * w * h
+    return pd.Series([rgb_to_tensor(np.frombuffer(p, np.uint8).reshape(h, w, 3)).reshape(-1) if fits(p, w, h) else None for p, w, h in zip(rgb, width, height, strict=True)])
+
+
 def rgb_to_tensor(rgb: np.ndarray) -> np.ndarray:
     """height x width x 3 bytes to 1 x 3 x height x width floats, normalised by channel."""
     return ((rgb / 255.0 - IMAGE_MEAN) / IMAGE_STD).transpose(2, 0, 1)[None].astype(np.float32)

@@ -26,6 +26,21 @@ def match_expression(text: Column, least: int = 3, most: int = 16) -> Column:
     return F.when(F.size(quoted) > 0, F.array_join(quoted, " OR "))
 
 
+def host_name(header: Column) -> Column:
+    """The host of a Host header: without brackets round it, or without its port."""
+    end = F.instr(header, "]")
+    inside = F.when(F.startswith(header, F.lit("[")) & (end > 0), F.substr(header, F.lit(2), end - 2))
+    return F.coalesce(inside, F.regexp_replace(header, r"(?s):[^:]*$", ""))
+
+
+def is_local(address: Column, header: Column) -> Column:
+    """Whether a request comes from this machine: by its address (127.0.0.0/8, ::1, or the former mapped into IPv6), or by
+    the name of the host that it asks for."""
+    four = r"127\.\d{1,3}\.\d{1,3}\.\d{1,3}"
+    by_address = F.lower(address).rlike(rf"^({four}|::1|(0:){{7}}1|::ffff:{four}|::ffff:7f[0-9a-f]{{2}}:[0-9a-f]{{1,4}})$")
+    return F.coalesce(by_address, F.lit(False)) | F.coalesce(F.lower(host_name(header)).isin("localhost", "127.0.0.1", "::1"), F.lit(False))
+
+
 def data_uri_bytes(text: Column) -> Column:
     """Bytes of base64 text; what stands before the first comma, and that comma, are dropped. Null if it isn't base64."""
     return F.try_to_binary(F.trim(F.substr(text, F.instr(text, ",") + 1)), F.lit("base64"))

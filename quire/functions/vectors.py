@@ -50,25 +50,37 @@ def sign_hash(v: Column) -> Column:
 
 @F.pandas_udf(T.BinaryType())
 def vector_to_blob(vectors: pd.Series) -> pd.Series:
-    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+    """32-bit little-endian floats: one conversion for a whole batch, cut at the vectors' ends."""
+    size = vectors.map(len, na_action="ignore").fillna(0).astype(int).to_numpy()
+    flat = np.concatenate([v for v in vectors if v is not None] or [np.zeros(0)]).astype("<f4").tobytes()
+    ends = np.cumsum(size) * 4
+    return pd.Series([None if v is None else flat[e - 4 * n : e] for v, e, n in zip(vectors, ends, size, strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def blob_to_vector(blobs: pd.Series) -> pd.Series:
     """32-bit little-endian floats; one to three bytes left over at the end are ignored."""
-    return blobs.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4"))
-
-
-def gradient_hash(pixels: np.ndarray) -> int:
-    """A 64-bit hash of a grey image: signs of horizontal then vertical differences of block means, as an unsigned number
-    of little-endian bytes. 32 bits each of a 5 x 8 and 8 x 5 grid of differences."""
-    def blocks(h: int, w: int) -> np.ndarray:
-        rows, cols = (np.linspace(0, n, k + 1).astype(int) for n, k in zip(pixels.shape, (h, w), strict=True))
-        return np.array([[pixels[rows[i] : max(rows[i + 1], rows[i] + 1), cols[j] : max(cols[j + 1], cols[j] + 1)].mean() for j in range(w)] for i in range(h)])
-
-    across, down = np.diff(blocks(4, 9), axis=1) > 0, np.diff(blocks(9, 4), axis=0) > 0
-    bits = np.concatenate([across.reshape(-1), down.reshape(-1)])
-    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4", len(b) // 4))
+
+
+def lanczos(source: int, target: int, lobes: int = 3) -> np.ndarray:
+    """target x source weights that resample a row by the Lanczos kernel, widened where it shrinks."""
+    ratio = source / target
+    scale = max(ratio, 1.0)
+    centre = (np.arange(target)[:, None] + 0.5) * ratio
+    x = (np.arange(source)[None, :] + 0.5 - centre) / scale
+    weights = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0.0)
+    return weights / weights.sum(1, keepdims=True)
+
+
+def gradient_hash(pixels: np.ndarray, size: int = 8) -> int:
+    """The double-gradient hash of a grey image: it is resampled to (size / 2 + 1) squared grey values; whether each is less
+    than the one to its right, row by row, then than the one below, column by column, are bits, the lowest of each byte
+    first; the bytes are those of an unsigned number, the lowest first (40 bits at size 8)."""
+    n = size // 2 + 1
+    small = np.clip(np.round(lanczos(pixels.shape[0], n) @ pixels @ lanczos(pixels.shape[1], n).T), 0, 255)
+    bits = np.concatenate([(small[:, :-1] < small[:, 1:]).reshape(-1), (small[:-1] < small[1:]).T.reshape(-1)])
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes()[:8], "little")
 
 
 @F.pandas_udf(T.LongType())

@@ -1,4 +1,4 @@
-"""Nearest vectors: an exact scan in query blocks, and an inverted-file index for approximate search."""
+"""Nearest vectors by an exact scan in query blocks."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -22,29 +22,48 @@ def _vectors(column: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+#: Products that a worker holds at once.
+PRODUCTS = 1 << 20
+
+
+class Best:
+    """The k highest products of each query so far, ties by region_id. Only what reaches a query's k-th one is kept."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor = k, np.full(queries, -np.inf)
+        self.held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, products: np.ndarray) -> None:
+        """products: of the queries `rows` (numbers) with regions `ids`."""
+        low = self.floor[rows]
+        if len(ids) > self.k:
+            low = np.maximum(low, np.partition(products, -self.k, axis=1)[:, -self.k])
+        r, c = np.nonzero(products >= low[:, None])
+        q, p, i = (np.concatenate(x) for x in zip(self.held, (rows[r], products[r, c], ids[c]), strict=True))
+        order = np.lexsort((i, -p, q))
+        q, p, i = q[order], p[order], i[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = rank == self.k - 1
+        self.floor[q[last]] = p[last]
+        self.held = [x[rank < self.k] for x in (q, p, i)]
+
+
 def _scan(ids: np.ndarray, queries: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_id = np.zeros((len(ids), 0), np.int64)
-        best = np.zeros((len(ids), 0))
+        best = Best(len(ids), k)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = batch.column("region_id").to_numpy(zero_copy_only=False)
-            best = np.hstack([best, queries @ _vectors(batch.column("vector")).T])
-            best_id = np.hstack([best_id, np.broadcast_to(own, (len(ids), len(own)))])
-            # rounding keeps near ties whole until the final order
-            order = np.lexsort((best_id, -best), axis=1)[:, :k]
-            best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
-        n = best.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_id.reshape(-1)), pa.array(best.reshape(-1))], ["query_id", "region_id", "product"])
+            own, vectors = batch.column("region_id").to_numpy(zero_copy_only=False), _vectors(batch.column("vector"))
+            step = max(1, PRODUCTS // len(own))
+            for i in range(0, len(ids), step):
+                best.add(np.arange(i, min(i + step, len(ids))), own, queries[i : i + step] @ vectors.T)
+        q, p, i = best.held
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(i), pa.array(p)], ["query_id", "region_id", "product"])
 
     return run
 
 
-#: Products that a worker holds at once where all pairs are looked at.
-PRODUCTS = 1 << 20
-
-
 def _scan_all(ids: np.ndarray, queries: np.ndarray, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,8 +130,14 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Queries of knn_plain, which are broadcast.
+PLAIN_QUERIES = 1_000
+
+
 def knn_plain(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The same by a nested-loop join of a small set of queries: what knn is tested against."""
+    if queries.limit(PLAIN_QUERIES + 1).count() > PLAIN_QUERIES:
+        raise ValueError("for more queries there is knn")
     pairs = vectors.select("region_id", "vector").crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("_q"))))
     return ranked(pairs.select("query_id", "region_id", dot(F.col("vector"), F.col("_q")).alias("product")), k)
 
@@ -122,41 +147,13 @@ def merge_matches(matches: DataFrame) -> DataFrame:
     return matches.groupBy("query_id", "region_id").agg(F.min("distance").alias("distance"))
 
 
-class InvertedFile:
-    """Vectors dealt into cells by their nearest centroid; a search scans the nearest cells of each query.
+def fetch_sizes(k: Column, tombstones: Column, factor: int = 25, least: int = 500, most: int = 2800, breadth: int = 256) -> Column:
+    """struct(search_k, fetch_k, ef): the candidates asked for, those fetched where some may be tombstones, and the
+    breadth of a graph search for them."""
+    search = F.greatest(k * factor, F.lit(least))
+    fetch = F.least(search + F.least(tombstones, search * 2), F.lit(most))
+    return F.struct(search.alias("search_k"), fetch.alias("fetch_k"), F.greatest(fetch, F.lit(breadth)).alias("ef"))
 
-    Centroids are fitted to at most `sample` vectors (the first by a hash of the id); every vector is indexed.
-    """
 
-    def __init__(self, vectors: DataFrame, cells: int = 16, sample: int = 20_000, rounds: int = 12, seed: int = 1):
-        taken = vectors.where(is_finite(F.col("vector"))).orderBy(F.xxhash64("region_id"), "region_id").limit(sample).select("vector").collect()
-        data = np.array([r[0] for r in taken], np.float64)
-        rng = np.random.default_rng(seed)
-        self.centroids = data[rng.permutation(len(data))[: min(cells, len(data))]]
-        for _ in range(rounds):
-            own = (data @ self.centroids.T).argmax(1)
-            for c in range(len(self.centroids)):
-                if (own == c).any():
-                    mean = data[own == c].mean(0)
-                    self.centroids[c] = mean / max(np.linalg.norm(mean), 1e-12)
-        self.table = self._celled(vectors.where(is_finite(F.col("vector"))), "region_id", 1)
-
-    def _celled(self, rows: DataFrame, key: str, probes: int) -> DataFrame:
-        centroids = self.centroids
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                near = np.argsort(-(_vectors(batch.column("vector")) @ centroids.T), axis=1)[:, :probes]
-                at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("vector").take(at), pa.array(near.reshape(-1))], ["key", "vector", "cell"])
-
-        return rows.select(F.col(key).cast("long").alias("key"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "key long, vector array<double>, cell long")
-
-    def search(self, queries: DataFrame, k: int, probes: int = 12) -> DataFrame:
-        """Like knn, but only among the vectors in the `probes` nearest cells of each query: with the defaults a recall
-        of 0.91 to 0.95 of the 10 nearest on the driver's tables, whose vectors hardly cluster."""
-        asked = self._celled(queries, "query_id", probes).select(F.col("key").alias("query_id"), F.col("vector").alias("_q"), "cell")
-        pairs = self.table.select(F.col("key").alias("region_id"), "vector", "cell").join(asked, "cell")
-        return ranked(pairs.select("query_id", "region_id", dot(F.col("vector"), F.col("_q")).alias("product")), k)
+def live_points(points: Column, tombstones: Column) -> Column:
+    return F.greatest(points - tombstones, F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from quire.functions.common import let
 from quire.functions.text import passes_gate, segments
+from quire.runtime import staged
 
 K1, B = 1.2, 0.75
 
@@ -18,9 +19,18 @@ def trigrams(text: Column) -> Column:
     return F.when(F.length(text) >= 3, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
-def postings(pages: DataFrame) -> DataFrame:
-    """trigram, page_id of pages (page_id, text): the inverted index."""
-    return pages.select("page_id", F.explode(trigrams(F.col("text"))).alias("trigram")).select("trigram", "page_id")
+def postings(pages: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """trigram, page_id of pages (page_id, text): the inverted index, or its rows of some trigrams only."""
+    made = trigrams(F.col("text"))
+    if only is not None:
+        made = F.array_intersect(made, F.lit(only).cast("array<string>"))
+    return pages.select("page_id", F.explode(made).alias("trigram")).select("trigram", "page_id")
+
+
+def trigrams_of(queries: DataFrame, most: int = 10_000) -> list[str] | None:
+    """The distinct trigrams of phrases (phrase), if there are at most `most`; else None."""
+    rows = queries.select(F.explode(trigrams(F.col("phrase"))).alias("t")).distinct().limit(most + 1).collect()
+    return [r["t"] for r in rows] if len(rows) <= most else None
 
 
 def sync_postings(index: DataFrame, changed: DataFrame) -> DataFrame:
@@ -39,26 +49,37 @@ def _quoted(phrase: Column) -> Column:
 
 
 def occurrences(text: Column, phrase: Column) -> Column:
-    """Overlapping occurrences of a phrase, cases folded."""
-    return F.regexp_count(F.lower(text), _quoted(F.lower(phrase)))
+    """Overlapping occurrences of a phrase in a text, both lower-cased."""
+    return F.regexp_count(text, _quoted(phrase))
+
+
+#: Phrases that may be broadcast to the pages.
+FEW_PHRASES = 10_000
 
 
 def matches(pages: DataFrame, wanted: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """phrase, page_id, tf, dl: where each distinct phrase (3 characters or more) occurs.
 
-    Without an index the phrases, a small table, go to the pages; with postings, pages that have all of
-    a phrase's trigrams are verified.
+    Without an index a small table of phrases goes to the pages; of more phrases each is looked up by one of its
+    trigrams. With postings, pages that have all of a phrase's trigrams are verified; only the postings of these
+    trigrams move.
     """
-    distinct = wanted.where(F.length("phrase") >= 3).select("phrase").distinct()
-    text = pages.select("page_id", "text")
-    if index is None:
-        found = text.join(F.broadcast(distinct) if distinct.limit(10_001).count() <= 10_000 else distinct, F.contains(F.lower("text"), F.lower("phrase")))
-    else:
+    distinct = wanted.where(F.length("phrase") >= 3).select("phrase", F.lower("phrase").alias("_p")).distinct()
+    text = pages.select("page_id", F.lower("text").alias("_t"), F.greatest(F.length("text") - 2, F.lit(0)).cast("long").alias("dl"))
+    few = distinct.limit(FEW_PHRASES + 1).count() <= FEW_PHRASES
+    if index is not None:
         parts = distinct.select("phrase", F.explode(trigrams(F.col("phrase"))).alias("trigram"))
         need = F.size(trigrams(F.col("phrase")))
-        pruned = index.join(parts, "trigram").groupBy("phrase", "page_id").agg(F.count("*").alias("n")).where(F.col("n") == need).select("phrase", "page_id")
-        found = text.join(pruned, "page_id").where(F.contains(F.lower("text"), F.lower("phrase")))
-    return found.select("phrase", "page_id", occurrences(F.col("text"), F.col("phrase")).cast("long").alias("tf"), F.greatest(F.length("text") - 2, F.lit(0)).cast("long").alias("dl"))
+        narrow = index.join(F.broadcast(parts.select("trigram").distinct()), "trigram", "left_semi") if few else index
+        pruned = narrow.join(parts, "trigram").groupBy("phrase", "page_id").agg(F.count("*").alias("n")).where(F.col("n") == need).select("phrase", "page_id")
+        found = text.join(pruned, "page_id").withColumn("_p", F.lower("phrase"))
+    elif few:
+        return text.join(F.broadcast(distinct), F.contains("_t", "_p")).select("phrase", "page_id", occurrences(F.col("_t"), F.col("_p")).cast("long").alias("tf"), "dl")
+    else:
+        anchored = distinct.withColumn("trigram", F.array_min(F.transform(trigrams(F.col("_p")), lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t"))))["t"])
+        pruned = postings(pages.select("page_id", "text")).join(anchored, "trigram").select("page_id", "phrase", "_p")
+        found = text.join(pruned, "page_id")
+    return found.where(F.contains("_t", "_p")).select("phrase", "page_id", occurrences(F.col("_t"), F.col("_p")).cast("long").alias("tf"), "dl")
 
 
 def corpus_stats(pages: DataFrame) -> DataFrame:
@@ -69,7 +90,8 @@ def corpus_stats(pages: DataFrame) -> DataFrame:
 def bm25(pages: DataFrame, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """query_id, page_id, r (lower is better): a phrase given twice counts twice."""
     wanted = phrases(queries)
-    found = matches(pages, wanted, index)
+    # written once: it is read for document frequencies and for scores
+    found = staged(matches(pages, wanted, index), "found")
     df = found.groupBy("phrase").agg(F.count("*").alias("df_phrase"))
     stats = corpus_stats(pages).first()
     n, avgdl = float(stats["n_docs"]), float(stats["avgdl"] or 0.0)

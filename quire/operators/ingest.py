@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.config import Settings
+from quire.functions.common import let
 
 
 def classify(path: Column) -> Column:
@@ -24,9 +25,9 @@ def below(path: Column, root: Column) -> Column:
     return F.size(F.split(rest, r"[/\\]+"))
 
 
-def scan_directories(spark: SparkSession, roots: list[str], depth: int = 3, content: bool = False) -> DataFrame:
+def scan_directories(spark: SparkSession, roots: list[str], depth: int | None = 3, content: bool = False) -> DataFrame:
     """path, filename, file_type, file_size, modified_at (and content_sha1) of pdf and ai files up to `depth`
-    segments below a root. Missing roots are skipped. Contents are read only if a hash is wanted."""
+    segments below a root (None: any). Missing roots are skipped. Contents are read only if a hash is wanted."""
     jvm = spark.sparkContext._jvm
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     schema = "path string, filename string, file_type string, file_size long, modified_at long, content_sha1 string"
@@ -39,7 +40,9 @@ def scan_directories(spark: SparkSession, roots: list[str], depth: int = 3, cont
         base = fs.makeQualified(place).toString()
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         files = files.withColumns({"_root": F.lit(base), "file_type": classify(F.col("path"))})
-        files = files.where(F.col("file_type").isNotNull() & (below(F.regexp_replace("path", "^file:/+", "/"), F.regexp_replace("_root", "^file:/+", "/")) <= min(depth, 32)))
+        files = files.where("file_type is not null")
+        if depth is not None:
+            files = files.where(below(F.regexp_replace("path", "^file:/+", "/"), F.regexp_replace("_root", "^file:/+", "/")) <= min(depth, 32))
         digest = F.sha1("content") if content else F.lit(None).cast("string")
         out = out.unionByName(files.select("path", file_name(F.col("path")).alias("filename"), "file_type", F.col("length").alias("file_size"), F.unix_seconds("modificationTime").alias("modified_at"), digest.alias("content_sha1")))
     return out.dropDuplicates(["path"])
@@ -79,26 +82,25 @@ def hash_gate(ready: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def _after(text: Column, mark: str) -> Column:
-    at = F.instr(text, mark)
-    return F.when(at > 0, F.substr(text, at + len(mark)))
+    return let(text, lambda t: F.when(F.instr(t, mark) > 0, F.substr(t, F.instr(t, mark) + len(mark))))
 
 
 def _until(text: Column, mark: str) -> Column:
-    at = F.instr(text, mark)
-    return F.when(at > 0, F.substr(text, F.lit(1), at - 1))
+    return let(text, lambda t: F.when(F.instr(t, mark) > 0, F.substr(t, F.lit(1), F.instr(t, mark) - 1)))
 
 
 def list_items(content: Column) -> Column:
     """Contents of list elements. A plain element ahead goes before those with attributes that precede it."""
-    plain = F.regexp_extract_all(content, F.lit(r"(?s)<rdf:li>(.*?)</rdf:li>"), 1)
-    rest = F.regexp_replace(content, r"(?s)^.*<rdf:li>.*?</rdf:li>", "")
-    others = F.regexp_extract_all(rest, F.lit(r"(?s)<rdf:li [^>]*>(.*?)</rdf:li>"), 1)
-    return F.concat(plain, F.when(F.instr(rest, "<rdf:li>") > 0, F.array().cast("array<string>")).otherwise(others))
+    plain = lambda c: F.regexp_extract_all(c, F.lit(r"(?s)<rdf:li>(.*?)</rdf:li>"), 1)
+    rest = lambda c: F.regexp_replace(c, r"(?s)^.*<rdf:li>.*?</rdf:li>", "")
+    others = lambda r: F.regexp_extract_all(r, F.lit(r"(?s)<rdf:li [^>]*>(.*?)</rdf:li>"), 1)
+    left = lambda c: let(rest(c), lambda r: F.when(F.instr(r, "<rdf:li>") > 0, F.array().cast("array<string>")).otherwise(others(r)))
+    return let(content, lambda c: F.concat(plain(c), left(c)))
 
 
 def is_imposition(content: Column) -> Column:
     """Whether a file's text (ISO-8859-1) has a packet of metadata that links a PDF by no relative path."""
-    packet = _until(F.substr(content, F.nullif(F.instr(content, "<?xpacket begin="), F.lit(0))), "<?xpacket end=")
+    packet = _until(let(content, lambda t: F.when(F.instr(t, "<?xpacket begin=") > 0, F.substr(t, F.instr(t, "<?xpacket begin=")))), "<?xpacket end=")
     inner = _until(_after(_after(packet, "<egExtFL:files"), ">"), "</egExtFL:files>")
 
     def external(item: Column) -> Column:
@@ -120,9 +122,15 @@ def attempt_ledger(attempts: DataFrame, limit: int = 2) -> DataFrame:
     return counted.withColumn("blacklisted", F.col("crash_attempts") >= limit)
 
 
+#: Mappings of path prefixes, a table kept by hand.
+MOST_MAPPINGS = 10_000
+
+
 def mapped_path(paths: DataFrame, mappings: DataFrame) -> DataFrame:
     """paths (path) with mapped: the first prefix of mappings (seq, server, client) that a path starts with is replaced."""
     slash = lambda x: F.when(x.rlike(r"[\\/]$"), x).otherwise(F.concat(x, F.lit("\\")))
+    if mappings.limit(MOST_MAPPINGS + 1).count() > MOST_MAPPINGS:
+        raise ValueError(f"more than {MOST_MAPPINGS} mappings of paths")
     hit = paths.select("path").distinct().join(F.broadcast(mappings), F.startswith("path", "server"))
     first = hit.groupBy("path").agg(F.min(F.struct("seq", "server", "client")).alias("m"))
     new = F.concat(slash(F.col("m.client")), F.substr("path", F.length(slash(F.col("m.server"))) + 1))

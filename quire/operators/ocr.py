@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quire.functions.geometry import unclipped
@@ -42,6 +45,12 @@ def label_components(mask: np.ndarray) -> np.ndarray:
     return np.where(labels > 0, np.searchsorted(kinds, labels) + 1, 0)
 
 
+@F.pandas_udf(T.LongType())
+def count_components(grey: pd.Series, width: pd.Series, threshold: pd.Series) -> pd.Series:
+    """How many connected parts the bright pixels of grey images (a byte a pixel; a last row that isn't full is left) have."""
+    return pd.Series([int(label_components(np.frombuffer(g, np.uint8, len(g) // w * w).reshape(-1, w) > t).max(initial=0)) for g, w, t in zip(grey, width, threshold, strict=True)])
+
+
 def reading_order(boxes: DataFrame) -> DataFrame:
     """boxes (page_id, x, y, w, h) with ord from 0: bands from top to bottom, each from left to right.
 
@@ -49,19 +58,24 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     greatest height so far: a fold over a page's boxes, one page at a time.
     """
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(mid=pdf.y + pdf.h // 2).sort_values(["mid", "x", "y", "w", "h"], kind="stable")
-        band, first, tallest, bands = 0, None, 1, []
-        for mid, h in zip(pdf.mid, pdf.h, strict=True):
-            if first is not None and abs(mid - first) > max(tallest // 2, 1):
-                band, first, tallest = band + 1, None, 1
-            first = mid if first is None else first
-            tallest = max(tallest, h)
-            bands.append(band)
-        pdf = pdf.assign(band=bands).sort_values(["band", "x", "mid"], kind="stable")
-        return pdf.assign(ord=range(len(pdf)))[["page_id", "x", "y", "w", "h", "ord"]].astype({"ord": "int64"})
+    longs = lambda *names: [F.col(n).cast("long").alias(n) for n in names]
+    box = F.struct((F.col("y") + F.floor(F.col("h") / 2)).cast("long").alias("mid"), *longs("x", "y", "w", "h"))
+    pages = boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    zero = F.struct(F.lit(0).cast("long").alias("band"), F.lit(None).cast("long").alias("first"), F.lit(1).cast("long").alias("tallest"), F.array().cast("array<bigint>").alias("bands"))
+
+    def step(a: Column, b: Column) -> Column:
+        new = F.coalesce(F.abs(b["mid"] - a["first"]) > F.greatest(F.floor(a["tallest"] / 2), F.lit(1)), F.lit(False))
+        band = a["band"] + F.when(new, 1).otherwise(0)
+        return F.struct(band.alias("band"), F.when(new | a["first"].isNull(), b["mid"]).otherwise(a["first"]).alias("first"), F.greatest(F.when(new, 1).otherwise(a["tallest"]), b["h"]).cast("long").alias("tallest"), F.concat(a["bands"], F.array(band)).alias("bands"))
 
-    return boxes.select("page_id", "x", "y", "w", "h").groupBy("page_id").applyInPandas(page, "page_id long, x int, y int, w int, h int, ord long")
+    bands = F.aggregate("boxes", zero, step, lambda a: a["bands"])
+    ordered = F.array_sort(F.zip_with(bands, "boxes", lambda n, b: F.struct(n.alias("band"), b["x"].alias("x"), b["mid"].alias("mid"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h"))))
+    told = pages.select("page_id", F.posexplode(ordered).alias("ord", "b"))
+    return told.select("page_id", *(F.col(f"b.{c}").cast(boxes.schema[c].dataType).alias(c) for c in ("x", "y", "w", "h")), F.col("ord").cast("long").alias("ord"))
+
+
+#: Classes of a vocabulary that may be broadcast.
+MOST_CLASSES = 200_000
 
 
 def ctc_decode(steps: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -70,7 +84,8 @@ def ctc_decode(steps: DataFrame, vocabulary: DataFrame) -> DataFrame:
     best = steps.groupBy("line_id", "t").agg(F.max(F.struct("prob", "cls")).alias("b")).select("line_id", "t", "b.*")
     before = F.lag("cls").over(W.partitionBy("line_id").orderBy("t"))
     emitted = best.withColumn("_before", before).withColumn("_out", (F.col("cls") != 0) & ~F.col("cls").eqNullSafe(F.col("_before")))
-    spelled = emitted.join(F.broadcast(vocabulary), "cls", "left")
+    few = vocabulary.limit(MOST_CLASSES + 1).count() <= MOST_CLASSES
+    spelled = emitted.join(F.broadcast(vocabulary) if few else vocabulary, "cls", "left")
     parts = F.array_sort(F.collect_list(F.when(F.col("_out"), F.struct("t", F.coalesce("ch", F.lit("")).alias("ch")))))
     return spelled.groupBy("line_id").agg(F.array_join(F.transform(parts, lambda x: x["ch"]), "").alias("text"), F.coalesce(F.avg(F.when(F.col("_out"), F.col("prob"))), F.lit(0.0)).alias("score"))
 
@@ -83,3 +98,56 @@ def page_text(lines: DataFrame) -> DataFrame:
     """page_id, text: readable lines (page_id, ord, text, score) in order, a line each."""
     kept = readable_lines(lines).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("x"))
     return kept.select("page_id", F.array_join(F.transform("x", lambda s: s["text"]), "\n").alias("text"))
+
+
+LINES = "page_id long, ord long, text string, score double"
+
+
+def detected(probabilities: np.ndarray, w: int, h: int, threshold: float = 0.3, sure: float = 0.5, least: int = 3, ratio: float = 1.6) -> list[tuple[int, int, int, int]]:
+    """Boxes (x0, y0, x1, y1; the last two exclusive) of text in a map of probabilities, scaled to a page of w x h."""
+    labels = label_components(probabilities > threshold)
+    out, (rows, cols) = [], probabilities.shape
+    for k in range(1, int(labels.max()) + 1 if labels.size else 1):
+        y, x = np.nonzero(labels == k)
+        bw, bh = x.max() - x.min() + 1, y.max() - y.min() + 1
+        if bw < least or bh < least or probabilities[y, x].mean() < sure:
+            continue
+        grow = int(np.ceil(bw * bh * ratio / (2 * (bw + bh))))
+        x0, y0, x1, y1 = max(x.min() - grow, 0), max(y.min() - grow, 0), min(x.max() + 1 + grow, cols), min(y.max() + 1 + grow, rows)
+        out.append((int(x0 * w // cols), int(y0 * h // rows), int(-(-x1 * w // cols)), int(-(-y1 * h // rows))))
+    return out
+
+
+def read_pages(images: DataFrame, detect: Callable[[np.ndarray], np.ndarray], recognize: Callable[[list[np.ndarray]], list[np.ndarray]], vocabulary: DataFrame, batch: int = 8) -> DataFrame:
+    """page_id, text of images (page_id, grey: a byte a pixel, width, height): detection, boxes in reading order, lines
+    recognised in batches, decoded, filtered and joined.
+
+    detect: pixels to a map of probabilities of text. recognize: crops to arrays of steps x classes. Both are
+    parameters; no model is part of this library.
+    """
+
+    def boxes_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for page_id, grey, w, h in frame[["page_id", "grey", "width", "height"]].itertuples(index=False):
+                pixels = np.frombuffer(grey or b"", np.uint8)
+                if w and h and len(pixels) == w * h:
+                    rows += [(page_id, x0, y0, x1 - x0, y1 - y0) for x0, y0, x1, y1 in detected(detect(pixels.reshape(h, w)), w, h)]
+            yield pd.DataFrame(rows, columns=["page_id", "x", "y", "w", "h"])
+
+    def steps_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for page_id, grey, w, h, boxes in frame[["page_id", "grey", "width", "height", "boxes"]].itertuples(index=False):
+                pixels, rows = np.frombuffer(grey, np.uint8).reshape(h, w), []
+                for i in range(0, len(boxes), batch):
+                    part = boxes[i : i + batch]
+                    for b, made in zip(part, recognize([pixels[b["y"] : b["y"] + b["h"], b["x"] : b["x"] + b["w"]] for b in part]), strict=True):
+                        best = made.shape[1] - 1 - made[:, ::-1].argmax(1)
+                        rows += [(page_id, b["ord"], t, int(c), float(made[t, c])) for t, c in enumerate(best)]
+                yield pd.DataFrame(rows, columns=["page_id", "ord", "t", "cls", "prob"])
+
+    found = reading_order(images.mapInPandas(boxes_of, "page_id long, x long, y long, w long, h long"))
+    boxes = found.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y", "w", "h"))).alias("boxes"))
+    steps = images.join(boxes, "page_id").mapInPandas(steps_of, "page_id long, ord long, t long, cls int, prob double")
+    lines = ctc_decode(steps.withColumn("line_id", F.struct("page_id", "ord")), vocabulary).select("line_id.*", "text", "score")
+    return images.select("page_id").join(page_text(lines), "page_id", "left").select("page_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -145,9 +145,10 @@ def truth_rank(results: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 class Snapshots:
-    """Tables as versioned folders under a base path, and a pointer that is swapped by a rename.
+    """Tables as versioned folders under a base path, and numbered pointers, of which the highest counts.
 
-    A commit writes new versions first; readers see all of them or none. One writer at a time.
+    A commit writes new versions first, then a pointer under a new number, moved into place whole: readers see all of
+    a commit or none, and a crash leaves the last one. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, base: str):
@@ -156,24 +157,49 @@ class Snapshots:
         self._path = jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self) -> dict[str, str]:
-        pointer = f"{self.base}/CURRENT"
-        if not self.fs.exists(self._path(pointer)):
+    def _numbers(self) -> list[int]:
+        place = self._path(f"{self.base}/pointers")
+        names = [f.getPath().getName() for f in self.fs.listStatus(place)] if self.fs.exists(place) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def current(self) -> dict[str, list[str]]:
+        """The folders of each table."""
+        numbers = self._numbers()
+        if not numbers:
             return {}
-        return json.loads(self.spark.read.text(pointer, wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(f"{self.base}/pointers/{numbers[-1]:012d}", wholetext=True).first()[0])
+
+    def read(self, table: str, schema: str | None = None) -> DataFrame:
+        """A table; with a schema, an empty one where it was never committed."""
+        places = self.current().get(table)
+        if places is None and schema is not None:
+            return self.spark.createDataFrame([], schema)
+        if places is None:
+            raise KeyError(table)
+        return self.spark.read.parquet(*places)
+
+    def commit(self, append: bool = False, **tables: DataFrame) -> None:
+        """New versions of the tables, or with append more rows of them, in one step."""
+        now, places = self.current(), {}
+        for name, df in tables.items():
+            place = f"{self.base}/{name}/{uuid.uuid4().hex}"
+            df.write.parquet(place)
+            places[name] = [*(now.get(name, []) if append else []), place]
+        self._point(now | places)
 
-    def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.current()[table])
+    def drop(self, *tables: str) -> None:
+        self._point({k: v for k, v in self.current().items() if k not in tables})
 
-    def commit(self, **tables: DataFrame) -> None:
-        places = {name: f"{self.base}/{name}/{uuid.uuid4().hex}" for name in tables}
-        for name, df in tables.items():
-            df.write.parquet(places[name])
-        text, fresh = json.dumps(self.current() | places), f"{self.base}/_next-{uuid.uuid4().hex}"
+    def clear(self) -> None:
+        self.fs.delete(self._path(self.base), True)
+
+    def _point(self, places: dict[str, list[str]]) -> None:
+        numbers = self._numbers()
+        fresh, name = f"{self.base}/pointers/_next-{uuid.uuid4().hex}", f"{self.base}/pointers/{(numbers or [0])[-1] + 1:012d}"
         out = self.fs.create(self._path(fresh), True)
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(json.dumps(places).encode()))
         out.close()
-        if self.fs.exists(self._path(f"{self.base}/CURRENT")):
-            self.fs.delete(self._path(f"{self.base}/CURRENT"), False)
-        if not self.fs.rename(self._path(fresh), self._path(f"{self.base}/CURRENT")):
-            raise OSError("the pointer could not be swapped")
+        if self.fs.exists(self._path(name)) or not self.fs.rename(self._path(fresh), self._path(name)):
+            raise OSError("another writer has committed")
+        for old in numbers[:-2]:
+            self.fs.delete(self._path(f"{self.base}/pointers/{old:012d}"), False)

@@ -13,6 +13,9 @@ from quire.functions import text as X
 from quire.functions import vectors as V
 from quire.functions.common import nearest_rank, numbered
 from quire.operators import ann, evaluate, fulltext, hashes, ingest, ocr, rank, store
+from quire.operators.index import VectorIndex
+from quire.runtime import scratch
+from quire.sources.upload import accepted, probed_uploads, type_accepted
 
 from .views import Views, with_views
 
@@ -104,28 +107,61 @@ def _(v: Views):
 
 @query("j10_inverted_file", _KNN.format("", 10), "pairs")
 def _(v: Views):
-    # all cells are probed here, so the result is exact; recall with fewer is tested
-    return ann.InvertedFile(v.vectors, cells=8).search(v.query_vec, 10, probes=8).select("query_id", "region_id", r6("product", "sim"), "rank")
+    # all cells are probed here, so the result is exact
+    return VectorIndex.build(v.spark, scratch(v.spark, "index"), v.vectors, cells=16).search(v.query_vec, 10, probes=16).select("query_id", "region_id", r6("product", "sim"), "rank")
+
+
+@query("j10_index_recall", "SELECT count(*) FILTER (id % 50 = 0) AS queries, true AS recalled, true AS pruned FROM regions", "regions")
+def _(v: Views):
+    """With its own number of probes, fewer than there are cells, the index finds 0.9 of the 10 nearest or more."""
+    index = VectorIndex.build(v.spark, scratch(v.spark, "index"), v.vectors)
+    asked = v.vectors.where("region_id % 50 = 0").select(F.col("region_id").alias("query_id"), "vector")
+    exact = ann.knn(asked, v.vectors, 10).select("query_id", "region_id", F.lit(1).alias("near"))
+    found = index.search(asked, 10).select("query_id", "region_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "region_id"], "left").agg(F.count_distinct("query_id").alias("queries"), (F.sum("hit") / F.sum("near") >= 0.9).alias("recalled"))
+    return both.withColumn("pruned", F.lit(index.probes < len(index.centroids)))
 
 
 @query("k8_vector_add", "SELECT count(*) AS vectors, sum(id)::BIGINT AS ids FROM (SELECT id FROM regions UNION ALL SELECT id + 1000000 FROM regions)", "regions")
 def _(v: Views):
-    added = v.vectors.unionByName(v.vectors.withColumn("region_id", F.col("region_id") + 1000000))
-    return added.agg(F.count("*").alias("vectors"), F.sum("region_id").alias("ids"))
+    index = VectorIndex.build(v.spark, scratch(v.spark, "index"), v.vectors)
+    index.add(v.vectors.withColumn("region_id", F.col("region_id") + 1000000))
+    return index.shelf.read("vectors").agg(F.count("*").alias("vectors"), F.sum("region_id").alias("ids"))
+
+
+@query("k9_index_remove", _KNN.format("WHERE region_id % 5 <> 2", 10), "pairs")
+def _(v: Views):
+    index = VectorIndex.build(v.spark, scratch(v.spark, "index"), v.vectors)
+    index.remove(v.vectors.where("region_id % 5 = 2"))
+    return index.search(v.query_vec, 10, probes=len(index.centroids)).select("query_id", "region_id", r6("product", "sim"), "rank")
+
+
+@query("k10_saved_index", "SELECT 2 * count(*) AS points, count(*) FILTER (id % 5 = 2) AS tombstones, 2 * count(*) - count(*) FILTER (id % 5 = 2) AS live FROM regions", "regions")
+def _(v: Views):
+    place = scratch(v.spark, "index")
+    index = VectorIndex.build(v.spark, place, v.vectors)
+    index.add(v.vectors.withColumn("region_id", F.col("region_id") + 1000000))
+    index.remove(v.vectors.where("region_id % 5 = 2"))
+    return VectorIndex.open(v.spark, place).stats()
+
+
+@query("k14_rebuild_index", "SELECT true AS rebuilt, false AS again, count(*) AS points FROM regions", "regions")
+def _(v: Views):
+    index = VectorIndex.build(v.spark, scratch(v.spark, "index"), v.vectors.where("region_id % 3 = 0"))
+    rebuilt, again = index.rebuild_if_needed(v.vectors), index.rebuild_if_needed(v.vectors)
+    return index.stats().select(F.lit(rebuilt).alias("rebuilt"), F.lit(again).alias("again"), "points")
 
 
 @query("u5_tombstones", "SELECT count(*) FILTER (id % 3 = 0 OR id % 5 = 0) AS tombstones, greatest(count(*) - count(*) FILTER (id % 3 = 0 OR id % 5 = 0), 0) AS live FROM regions", "regions")
 def _(v: Views):
     gone = v.regions.where("id % 3 = 0").select("id").union(v.regions.where("id % 5 = 0").select("id")).distinct()
-    return gone.agg(F.count("*").alias("tombstones")).crossJoin(v.regions.agg(F.count("*").alias("n"))).select("tombstones", F.greatest(F.col("n") - F.col("tombstones"), F.lit(0)).alias("live"))
+    return gone.agg(F.count("*").alias("tombstones")).crossJoin(v.regions.agg(F.count("*").alias("n"))).select("tombstones", ann.live_points(F.col("n"), F.col("tombstones")).alias("live"))
 
 
 @query("f29_fetch_sizes", "SELECT k, greatest(25 * k, 500) AS search_k, least(greatest(25 * k, 500) + least(t, 2 * greatest(25 * k, 500)), 2800) AS fetch_k, greatest(256, least(greatest(25 * k, 500) + least(t, 2 * greatest(25 * k, 500)), 2800)) AS ef FROM (SELECT l_linenumber * 8 AS k, l_orderkey % 3000 AS t FROM lineitem)")
 def _(v: Views):
     rows = v.table("lineitem").select((F.col("l_linenumber") * 8).alias("k"), (F.col("l_orderkey") % 3000).alias("t"))
-    k = F.greatest(F.col("k") * 25, F.lit(500))
-    fetch = F.least(k + F.least(F.col("t"), k * 2), F.lit(2800))
-    return rows.select("k", k.alias("search_k"), fetch.alias("fetch_k"), F.greatest(fetch, F.lit(256)).alias("ef"))
+    return rows.select("k", ann.fetch_sizes(F.col("k"), F.col("t")).alias("s")).select("k", "s.*")
 
 
 # Hashes
@@ -160,19 +196,19 @@ def _(v: Views):
 
 @query("s7_phash_scan", "SELECT id AS region_id, phash FROM regions WHERE id % 9 <> 2", "regions")
 def _(v: Views):
-    return v.hashes.withColumn("phash", F.when(F.col("region_id") % 9 != 2, F.col("phash"))).where("phash is not null")
+    return hashes.replaced(v.hashes.withColumn("phash", F.when(F.col("region_id") % 9 != 2, F.col("phash"))))
 
 
 @query("k11_phash_store", "SELECT id AS region_id, phash FROM regions WHERE id % 4 <> 1 UNION ALL SELECT id + 1000000, phash FROM regions", "regions")
 def _(v: Views):
     added = v.hashes.withColumn("region_id", F.col("region_id") + 1000000)
     gone = v.hashes.where("region_id % 4 = 1").select("region_id")
-    return v.hashes.join(gone, "region_id", "left_anti").unionByName(added)
+    return hashes.appended(hashes.removed(hashes.replaced(v.hashes), gone), added)
 
 
 @query("f11_bit_cast", "SELECT id, (phash::HUGEINT + CASE WHEN phash < 0 THEN 18446744073709551616 ELSE 0 END)::VARCHAR AS unsigned FROM regions", "regions")
 def _(v: Views):
-    return v.regions.select("id", (F.col("phash").cast("decimal(20,0)") + F.when(F.col("phash") < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(F.lit(0))).cast("decimal(20,0)").cast("string").alias("unsigned"))
+    return v.regions.select("id", hashes.unsigned(F.col("phash")).cast("string").alias("unsigned"))
 
 
 # Full text
@@ -216,7 +252,8 @@ def _(v: Views):
 
 @query("j12_postings_match", "SELECT phrase, page_id, tf, dl FROM found", "found")
 def _(v: Views):
-    return fulltext.matches(v.page_ocr, fulltext.phrases(v.query_text), fulltext.postings(v.page_ocr))
+    wanted = fulltext.phrases(v.query_text)
+    return fulltext.matches(v.page_ocr, wanted, fulltext.postings(v.page_ocr, fulltext.trigrams_of(wanted)))
 
 
 @query("k7_fts_sync", """SELECT page_id, count(DISTINCT t) AS trigrams FROM (SELECT page_id, substr(lower(text), i::INT, 3) AS t FROM (SELECT *, unnest(generate_series(1, length(text) - 2)) AS i FROM (
@@ -350,12 +387,14 @@ def _(v: Views):
 @query("k2_insert_pages", """, p AS (SELECT file_id, id % 4 AS pos, page_num, id FROM page_t),
     n AS (SELECT *, 5000 + row_number() OVER (ORDER BY file_id, pos) AS new_page FROM p),
     r AS (SELECT file_id, pos, new_page, k FROM n, (SELECT unnest(range(3)) AS k))
-    SELECT 90000 + row_number() OVER (ORDER BY file_id, pos, k) AS id, new_page AS page_id, CASE WHEN k = 0 THEN 'full' ELSE 'tile' END AS kind, k AS idx FROM r""", "page_t")
+    SELECT 90000 + row_number() OVER (ORDER BY file_id, pos, k) AS id, new_page AS page_id, CASE WHEN k = 0 THEN 'full' ELSE 'tile' END AS kind, k AS idx, file_id, page_num, 640 AS width_px, 480 AS height_px, thumb_path
+    FROM r JOIN (SELECT file_id, pos, page_num FROM n) USING (file_id, pos) JOIN (SELECT id AS pid, file_id, id % 4 AS pos, thumb_path FROM page_t) USING (file_id, pos)""", "page_t")
 def _(v: Views):
     region = lambda k: F.struct(F.lit("full" if k == 0 else "tile").alias("kind"), F.lit(k).cast("long").alias("idx"))
     page = F.struct("page_num", F.lit(640).alias("width_px"), F.lit(480).alias("height_px"), "thumb_path", F.array(*(region(k) for k in range(3))).alias("regions"))
     payload = v.page_t.groupBy("file_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
-    return store.insert_pages(payload, 5000, 90000)[1]
+    pages, regions = store.insert_pages(payload, 5000, 90000)
+    return regions.join(pages.withColumnRenamed("id", "page_id"), "page_id")
 
 
 @query("j15_positional_zip", "SELECT 100 + row_number() OVER (ORDER BY id) AS new_id, id AS region_id, phash FROM regions", "regions")
@@ -372,7 +411,10 @@ def _(v: Views):
     return store.upsert_ocr(old, new[0].unionByName(new[1]))
 
 
-_ORPHANS = "SELECT p.id AS page_id FROM page_t p JOIN files f ON f.id = file_id LEFT JOIN page_ocr o ON o.page_id = p.id WHERE o.page_id IS NULL AND (is_excluded = 1 OR indexed_at IS NULL)"
+_ORPHANS = """SELECT pg.id AS page_id FROM page_t AS pg WHERE NOT EXISTS (SELECT 1 FROM page_ocr AS done WHERE done.page_id = pg.id)
+    AND EXISTS (SELECT 1 FROM files AS fl WHERE fl.id = pg.file_id AND (fl.indexed_at IS NULL OR fl.is_excluded = 1))"""
+_WAITING = """SELECT pg.id AS page_id, fl.path, pg.page_num FROM files AS fl, page_t AS pg WHERE fl.id = pg.file_id AND fl.indexed_at IS NOT NULL AND fl.is_excluded = 0
+    AND NOT EXISTS (SELECT 1 FROM page_ocr AS done WHERE done.page_id = pg.id)"""
 
 
 @query("k4_orphans", _ORPHANS, "page_t", "files", "page_ocr")
@@ -415,7 +457,7 @@ def _(v: Views):
     return v.page_t.join(v.files.select(F.col("id").alias("file_id"), "path"), "file_id").select(F.col("id").alias("page_id"), "path", "page_num")
 
 
-@query("j3_ocr_claim", "SELECT p.id AS page_id, path, page_num FROM page_t p JOIN files f ON f.id = file_id LEFT JOIN page_ocr o ON o.page_id = p.id WHERE o.page_id IS NULL AND is_excluded = 0 AND indexed_at IS NOT NULL AND p.id > 50 ORDER BY p.id LIMIT 200", "page_t", "files", "page_ocr")
+@query("j3_ocr_claim", f"SELECT * FROM ({_WAITING}) WHERE page_id > 50 ORDER BY page_id LIMIT 200", "page_t", "files", "page_ocr")
 def _(v: Views):
     return store.pending_ocr(v.page_t, v.files, v.page_ocr, 50, 200)
 
@@ -531,22 +573,25 @@ def _packet(k: int, items: str) -> str:
 _PACKETS = ", ".join("({}, '{}')".format(k, _packet(k, x).replace("'", "''")) for k, x in _XMP.items())
 
 
-@query("p8_imposition", f"""WITH x AS (SELECT * FROM (VALUES {_PACKETS}) t(file_id, content)),
-    p AS (SELECT file_id, regexp_extract(content, '(?s)<\\?xpacket begin=(.*?)<\\?xpacket end=', 1) AS c FROM x),
-    n AS (SELECT file_id, regexp_extract(c, '(?s)<egExtFL:files[^>]*>(.*?)</egExtFL:files>', 1) AS c FROM p),
-    i AS (SELECT file_id, list_concat(regexp_extract_all(c, '(?s)<rdf:li>(.*?)</rdf:li>', 1), regexp_extract_all(regexp_replace(c, '(?s)^.*<rdf:li>.*?</rdf:li>', ''), '(?s)<rdf:li [^>]*>(.*?)</rdf:li>', 1)) AS items FROM n)
-    SELECT file_id, len(list_filter(items, lambda s: contains(lower(s), '.pdf') AND NOT regexp_matches(lower(s), '^\\s*<stref:instanceid>file:\\.\\.?/'))) > 0 AS excluded FROM i""")
+@query("p8_imposition", f"""WITH x AS (SELECT * FROM (VALUES {_PACKETS}) t(kind, content)),
+    p AS (SELECT kind, regexp_extract(content, '(?s)<\\?xpacket begin=(.*?)<\\?xpacket end=', 1) AS c FROM x),
+    n AS (SELECT kind, regexp_extract(c, '(?s)<egExtFL:files[^>]*>(.*?)</egExtFL:files>', 1) AS c FROM p),
+    i AS (SELECT kind, list_concat(regexp_extract_all(c, '(?s)<rdf:li>(.*?)</rdf:li>', 1), regexp_extract_all(regexp_replace(c, '(?s)^.*<rdf:li>.*?</rdf:li>', ''), '(?s)<rdf:li [^>]*>(.*?)</rdf:li>', 1)) AS items FROM n),
+    e AS (SELECT kind, len(list_filter(items, lambda s: contains(lower(s), '.pdf') AND NOT regexp_matches(lower(s), '^\\s*<stref:instanceid>file:\\.\\.?/'))) > 0 AS excluded FROM i)
+    SELECT doc_id, excluded AND NOT contains(text, '<?xpacket') AS excluded FROM documents JOIN e ON kind = doc_id % 7 + 1""")
 def _(v: Views):
-    rows = v.inline([(k, _packet(k, x)) for k, x in _XMP.items()], "file_id long, content string")
-    return rows.select("file_id", ingest.is_imposition(F.col("content")).alias("excluded"))
+    kinds = F.create_map(*(F.lit(x) for k, items in _XMP.items() for x in (k, _packet(k, items))))
+    content = F.concat(F.encode("text", "UTF-8"), F.encode(F.element_at(kinds, (F.col("doc_id") % 7 + 1).cast("int")), "ISO-8859-1"), F.encode("text", "UTF-8"))
+    return v.table("documents").select("doc_id", ingest.is_imposition(ingest.latin1(content)).alias("excluded"))
 
 
-@query("p13_upload_validation", """SELECT doc_id, (ct = '' OR ct LIKE 'image/%') AS type_ok, n_chars * 4096 <= 67108864 AS size_ok, coalesce(TRY_CAST(k AS BIGINT), 20) AS top_k
+@query("p13_upload_validation", """SELECT doc_id, (ct = '' OR ct LIKE 'image/%') AS type_ok, n_chars * 4096 <= 67108864 OR NOT (ct = '' OR ct LIKE 'image/%') AS size_ok, coalesce(TRY_CAST(k AS BIGINT), 20) AS top_k
     FROM (SELECT doc_id, n_chars, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'image/png' ELSE 'text/html' END AS ct, CASE WHEN doc_id % 4 = 0 THEN 'many' ELSE (doc_id % 50)::VARCHAR END AS k FROM documents)""")
 def _(v: Views):
     i = F.col("doc_id")
     rows = v.table("documents").select(i, "n_chars", F.when(i % 3 == 0, "").when(i % 3 == 1, "image/png").otherwise("text/html").alias("ct"), F.when(i % 4 == 0, "many").otherwise((i % 50).cast("string")).alias("k"))
-    return rows.select("doc_id", ((F.col("ct") == "") | F.startswith("ct", F.lit("image/"))).alias("type_ok"), (F.col("n_chars") * 4096 <= 64 * 1024 * 1024).alias("size_ok"), F.coalesce(F.col("k").try_cast("long"), F.lit(20)).alias("top_k"))
+    told = accepted(rows.select("doc_id", F.col("ct").alias("content_type"), F.col("k").alias("top_k"), (F.col("n_chars") * 4096).alias("n_bytes"), F.lit(1).alias("width"), F.lit(1).alias("height")))
+    return told.select("doc_id", type_accepted(F.col("content_type")).alias("type_ok"), (F.coalesce("problem", F.lit("")) != "too large").alias("size_ok"), "top_k")
 
 
 @query("j16_path_mapping", """, m AS (SELECT * FROM (VALUES (0, 'D:/d/1', 'Z:/one'), (1, 'D:/d/', 'Y:/all/'), (2, 'D:/', 'X:')) t(seq, server, client)),
@@ -636,7 +681,12 @@ def _(v: Views):
     return ocr.text_boxes(boxes, 96, 64)
 
 
-@query("w3_reading_order")
+@query("w3_reading_order", """WITH RECURSIVE b AS (SELECT l_orderkey % 500 AS page_id, l_partkey % 600 AS x, l_suppkey % 90 * 9 AS y, 50 AS w, 12 + l_linenumber AS h FROM lineitem),
+    s AS (SELECT *, y + h // 2 AS mid, row_number() OVER (PARTITION BY page_id ORDER BY y + h // 2, x, y, w, h) AS i FROM b),
+    r AS (SELECT page_id, i, mid AS head, greatest(h, 1) AS tall, 0 AS band FROM s WHERE i = 1
+        UNION ALL SELECT s.page_id, s.i, CASE WHEN abs(mid - head) > greatest(tall // 2, 1) THEN mid ELSE head END, CASE WHEN abs(mid - head) > greatest(tall // 2, 1) THEN greatest(h, 1) ELSE greatest(tall, h) END,
+            CASE WHEN abs(mid - head) > greatest(tall // 2, 1) THEN band + 1 ELSE band END FROM r JOIN s ON s.page_id = r.page_id AND s.i = r.i + 1)
+    SELECT page_id, x, y, w, h, row_number() OVER (PARTITION BY page_id ORDER BY band, x, mid, y, w, h) - 1 AS ord FROM s JOIN r USING (page_id, i)""")
 def _(v: Views):
     i = F.col("l_orderkey")
     boxes = v.table("lineitem").select((i % 500).alias("page_id"), (F.col("l_partkey") % 600).cast("int").alias("x"), (F.col("l_suppkey") % 90 * 9).cast("int").alias("y"), F.lit(50).alias("w"), (F.lit(12) + F.col("l_linenumber")).cast("int").alias("h"))
@@ -747,25 +797,119 @@ def _(v: Views):
 # Events
 
 
-@query("w5_settle_batch", """SELECT path, min(seq) AS seq FROM (SELECT *, lag(size) OVER w = size AND lag(mtime) OVER w = mtime AND size >= 1024 AS same FROM settle_samples WINDOW w AS (PARTITION BY path ORDER BY seq)) WHERE same GROUP BY path""", "settle_samples")
+@query("w5_settle_batch", """SELECT path, min(seq) AS seq FROM (SELECT *, lag(size) OVER w = size AND lag(mtime) OVER w = mtime AND size >= 1024 AND (row_number() OVER w - 1) % 20 > 0 AS same FROM settle_samples WINDOW w AS (PARTITION BY path ORDER BY seq)) WHERE same GROUP BY path""", "settle_samples")
 def _(v: Views):
     from quire.streaming.settle import first_stable
 
     return first_stable(v.settle_samples)
 
 
-@query("u6_net_events", """SELECT path, event, CASE WHEN event = 'delete' THEN 0 ELSE 1 END AS step FROM (SELECT path, CASE WHEN event_id % 3 = 0 THEN 'delete' ELSE 'modify' END AS event,
-    row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS i FROM settle_samples) WHERE i = 1""", "settle_samples")
+@query("u6_net_events", """, e AS (SELECT path, max(seq) FILTER (event_id % 3 = 0) AS gone, max(seq) FILTER (event_id % 3 <> 0) AS fresh FROM settle_samples GROUP BY path)
+    SELECT path, 'delete' AS event, 0 AS step FROM e WHERE gone IS NOT NULL UNION ALL SELECT path, 'modify', 1 FROM e WHERE fresh > coalesce(gone, -1)""", "settle_samples")
 def _(v: Views):
     from quire.streaming.settle import net_events
 
     return net_events(v.settle_samples.select("path", "seq", F.when(F.col("event_id") % 3 == 0, "delete").otherwise("modify").alias("event")))
 
 
-@query("r6_backfill_step", f"""SELECT page_id, length(text) AS n FROM page_ocr UNION ALL ({_ORPHANS.replace('SELECT p.id AS page_id', 'SELECT p.id, 0')})
-    UNION ALL SELECT p.id, length(f.path) FROM page_t p JOIN files f ON f.id = file_id LEFT JOIN page_ocr o ON o.page_id = p.id WHERE o.page_id IS NULL AND is_excluded = 0 AND indexed_at IS NOT NULL""", "page_t", "files", "page_ocr")
+@query("r6_backfill_step", f"SELECT page_id, length(text) AS n FROM page_ocr UNION ALL SELECT page_id, 0 FROM ({_ORPHANS}) UNION ALL SELECT page_id, length(path) FROM ({_WAITING})", "page_t", "files", "page_ocr")
 def _(v: Views):
     from quire.streaming.settle import backfill_ocr
 
     done = backfill_ocr(v.page_t, v.files, v.page_ocr.withColumn("ocr_at", F.lit(1).cast("long")), lambda claimed: claimed.select("page_id", F.col("path").alias("text")), NOW, batch=1_000_000)
     return done.select("page_id", F.length("text").alias("n"))
+
+
+@query("s10_folder_changes", """SELECT coalesce(f.path, s.path) AS path, CASE WHEN f.path IS NULL THEN 'create' WHEN s.path IS NULL THEN 'delete' ELSE 'modify' END AS event
+    FROM files f FULL JOIN scan s ON s.path = f.path WHERE f.path IS NULL OR s.path IS NULL OR f.modified_at <> s.modified_at""", "files", "scan")
+def _(v: Views):
+    from quire.streaming.watch import changes
+
+    seen = v.files.select("path", F.col("file_size").alias("size"), F.col("modified_at").alias("mtime"))
+    return changes(seen, v.scan.select("path", (F.col("file_size") - 1).alias("size"), F.col("modified_at").alias("mtime")))
+
+
+@query("r2_settle_tick", """SELECT path, size, mtime, attempts + 1 AS attempts, CASE WHEN size IS NULL THEN 'vanished' WHEN size >= 1024 AND attempts > 0 AND size = before AND mtime = mtime_before THEN 'ready' WHEN attempts + 1 >= 20 THEN 'dropped' END AS outcome
+    FROM (SELECT doc_id::VARCHAR AS path, doc_id % 5 * 600 AS before, doc_id % 3 AS mtime_before, (doc_id % 21)::INT AS attempts, CASE WHEN doc_id % 9 <> 4 THEN doc_id % 5 * 600 + (doc_id % 4 = 0)::INT END AS size, CASE WHEN doc_id % 9 <> 4 THEN doc_id % 3 + (doc_id % 7 = 0)::INT END AS mtime FROM documents)""")
+def _(v: Views):
+    from quire.streaming.watch import settle_tick
+
+    i, path = F.col("doc_id"), F.col("doc_id").cast("string").alias("path")
+    docs = v.table("documents")
+    pending = docs.select(path, (i % 5 * 600).alias("size"), (i % 3).alias("mtime"), (i % 21).cast("int").alias("attempts"))
+    listing = docs.where("doc_id % 9 <> 4").select(path, (i % 5 * 600 + (i % 4 == 0).cast("long")).alias("size"), (i % 3 + (i % 7 == 0).cast("long")).alias("mtime"))
+    return settle_tick(pending, listing)
+
+
+# Pixels and headers
+
+
+@query("f2_phash")
+def _(v: Views):
+    """Of documents' bytes as grey images, 16 wide."""
+    rows = v.table("documents").select("doc_id", F.encode("text", "UTF-8").alias("b")).where(F.octet_length("b") >= 64)
+    height = F.floor(F.octet_length("b") / 16).cast("int")
+    return rows.select("doc_id", V.phash(F.substr("b", F.lit(1), height * 16), F.lit(16), height).alias("phash"))
+
+
+@query("f10_blob_codec", "SELECT id, 4 * len(vector) AS n_bytes, round(vector[1]::DOUBLE, 6) AS head, round(vector[len(vector)]::DOUBLE, 6) AS tail FROM regions", "regions")
+def _(v: Views):
+    blobs = v.regions.select("id", V.vector_to_blob("vector").alias("b"))
+    back = blobs.select("id", F.octet_length("b").alias("n_bytes"), V.blob_to_vector(F.concat("b", F.unhex(F.lit("00FF")))).alias("x"))
+    return back.select("id", "n_bytes", F.round(F.get("x", F.lit(0)).cast("double"), 6).alias("head"), F.round(F.element_at("x", -1).cast("double"), 6).alias("tail"))
+
+
+@query("f16_tensor", "SELECT doc_id, 6 AS n, round((doc_id % 256 / 255 - 0.485) / 0.229, 4) AS r0, round((doc_id * 7 % 256 / 255 - 0.456) / 0.224, 4) AS g0, round((doc_id * 13 % 256 / 255 - 0.406) / 0.225, 4) AS b0, round((0 - 0.485) / 0.229, 4) AS r1 FROM documents")
+def _(v: Views):
+    i = F.col("doc_id")
+    pixels = F.unhex(F.format_string("%02X%02X%02X000000", i % 256, i * 7 % 256, i * 13 % 256))
+    made = v.table("documents").select(i, G.tensor(pixels, F.lit(2), F.lit(1)).alias("t"))
+    return made.select("doc_id", F.size("t").alias("n"), *(F.round(F.get("t", F.lit(k)).cast("double"), 4).alias(n) for k, n in ((0, "r0"), (2, "g0"), (4, "b0"), (1, "r1"))))
+
+
+@query("f22_rgba", "SELECT doc_id, printf('%02X%02X%02X%02X0A0B0CFF', doc_id * 13 % 256, doc_id * 7 % 256, doc_id % 256, doc_id * 3 % 256) AS rgba FROM documents")
+def _(v: Views):
+    i = F.col("doc_id")
+    bgra = F.unhex(F.format_string("%02X%02X%02X%02X0C0B0AFF", i % 256, i * 7 % 256, i * 13 % 256, i * 3 % 256))
+    return v.table("documents").select(i, F.hex(G.rgba(bgra)).alias("rgba"))
+
+
+_DRAW = "(('0x' || substr(md5('7:' || page_id || ':' || crop || ':{}'), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+@query("f25_crops", f"""WITH d AS (SELECT p_partkey AS page_id, 200 + p_partkey * 37 % 2000 AS pw, 100 + p_partkey * 61 % 1700 AS ph, unnest([0, 1]) AS crop FROM part),
+    a AS (SELECT *, 0.08 + {_DRAW.format('area')} * 0.82 AS area, 0.75 + {_DRAW.format('aspect')} * 0.5833 AS aspect FROM d),
+    s AS (SELECT *, least(greatest(round(least(sqrt(area * aspect), 1) * pw), 16), pw) / pw AS w, least(greatest(round(least(sqrt(area / aspect), 1) * ph), 16), ph) / ph AS h FROM a)
+    SELECT page_id, crop, round(w, 6) AS w, round(h, 6) AS h, round({_DRAW.format('x')} * (1 - w), 6) AS x, round({_DRAW.format('y')} * (1 - h), 6) AS y, round(w * h, 6) AS area_ratio,
+        floor(320 + {_DRAW.format('edge')} * 581)::BIGINT AS edge, floor({_DRAW.format('light')} * 51)::BIGINT - 25 AS brightness, floor(70 + {_DRAW.format('quality')} * 21)::BIGINT AS quality FROM s""")
+def _(v: Views):
+    pages = v.table("part").select(F.col("p_partkey").alias("page_id"), (F.lit(200) + F.col("p_partkey") * 37 % 2000).alias("width_px"), (F.lit(100) + F.col("p_partkey") * 61 % 1700).alias("height_px"))
+    return _rounded(evaluate.synthetic_crops(pages, 7, per_page=2).drop("width_px", "height_px"))
+
+
+_HOSTS = ("localhost:7788", "127.0.0.1", "[::1]:7788", "example.org:80", "LocalHost", "[::1", "a:b:c", "")
+
+
+@query("f26_hosts", f"""WITH h AS (SELECT doc_id, {list(_HOSTS)}[doc_id % {len(_HOSTS)} + 1] AS header, ['10.0.0.7', '127.0.0.9', '::1', '::ffff:127.0.0.1', '1127.0.0.1'][doc_id % 5 + 1] AS address FROM documents),
+    n AS (SELECT *, CASE WHEN starts_with(header, '[') AND contains(header, ']') THEN substr(header, 2, instr(header, ']') - 2) WHEN contains(header, ':') THEN left(header, length(header) - position(':' IN reverse(header))) ELSE header END AS host FROM h)
+    SELECT doc_id, host, doc_id % 5 IN (1, 2, 3) OR lower(host) IN ('localhost', '127.0.0.1', '::1') AS is_local FROM n""")
+def _(v: Views):
+    pick = lambda values: F.get(F.lit(list(values)), (F.col("doc_id") % len(values)).cast("int"))
+    rows = v.table("documents").select("doc_id", pick(_HOSTS).alias("header"), pick(("10.0.0.7", "127.0.0.9", "::1", "::ffff:127.0.0.1", "1127.0.0.1")).alias("address"))
+    return rows.select("doc_id", X.host_name(F.col("header")).alias("host"), X.is_local(F.col("address"), F.col("header")).alias("is_local"))
+
+
+@query("s12_image_header", """SELECT doc_id, w AS width, h AS height, CASE WHEN w IS NULL THEN 'not an image' WHEN w * h > 60000000 THEN 'too many pixels' END AS problem
+    FROM (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN 1 + doc_id * 370 % 12000 END AS w, CASE WHEN doc_id % 7 <> 0 THEN 1 + doc_id * 610 % 9000 END AS h FROM documents)""")
+def _(v: Views):
+    i = F.col("doc_id")
+    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.format_string("%08X%08X", 1 + i * 370 % 12000, 1 + i * 610 % 9000)))
+    rows = v.table("documents").select(i, F.lit("image/png").alias("content_type"), F.when(i % 7 != 0, png).otherwise(F.encode("text", "UTF-8")).alias("body"), F.lit(None).cast("string").alias("top_k"))
+    return probed_uploads(rows).select("doc_id", "width", "height", "problem")
+
+
+@query("x5_components")
+def _(v: Views):
+    """Connected parts of the bytes above 110 of documents as grey images, 32 wide."""
+    rows = v.table("documents").select("doc_id", F.encode("text", "UTF-8").alias("b")).where(F.octet_length("b") >= 32)
+    return rows.select("doc_id", ocr.count_components("b", F.lit(32), F.lit(110)).alias("parts"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,16 +12,27 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a local one."""
+    """The folder in spark.checkpoint.dir. Only where one process is the whole engine (master local) may it be unset:
+    a local folder then serves; elsewhere that is an error, as no executor sees another's folders."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="quire-shared-")
     return f"file://{_LOCAL_DIRS[app]}"
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, removed when the JVM ends."""
+    path = f"{shared_dir(spark)}/quire-staged/{label}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 #: Rows of texts that a worker, the JVM or a Parquet reader should hold at once.
 TEXT_ROWS = 1_000
 
@@ -38,11 +50,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage so that lost executors
     cost a reread, and lets several consumers use one computation. Removed when the JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire-staged/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 

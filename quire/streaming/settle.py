@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -40,11 +41,11 @@ def settle(samples: DataFrame, min_bytes: int = 1024, retries: int = 20) -> Data
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = Pending(*state.get) if state.exists else None
         found = []
-        for frame in frames:
-            for seq, size, mtime in frame.sort_values("seq")[["seq", "size", "mtime"]].itertuples(index=False):
-                now, outcome = settle_step(now or Pending(), None if pd.isna(size) else int(size), None if pd.isna(mtime) else int(mtime), min_bytes, retries)
-                if outcome:
-                    found.append((key[0], outcome, int(seq)))
+        # a batch's samples of one path may come in several frames, in any order
+        for seq, size, mtime in pd.concat(list(frames)).sort_values("seq")[["seq", "size", "mtime"]].itertuples(index=False):
+            now, outcome = settle_step(now or Pending(), None if pd.isna(size) else int(size), None if pd.isna(mtime) else int(mtime), min_bytes, retries)
+            if outcome:
+                found.append((key[0], outcome, int(seq)))
         if now is None:
             if state.exists:
                 state.remove()
@@ -56,18 +57,25 @@ def settle(samples: DataFrame, min_bytes: int = 1024, retries: int = 20) -> Data
     return samples.groupBy("path").applyInPandasWithState(run, "path string, outcome string, seq long", "size long, mtime long, attempts long", "append", GroupStateTimeout.NoTimeout)
 
 
-def first_stable(samples: DataFrame, min_bytes: int = 1024) -> DataFrame:
-    """path, seq of the first sample equal to the one before it and large enough: the batch form."""
+def first_stable(samples: DataFrame, min_bytes: int = 1024, retries: int = 20) -> DataFrame:
+    """path, seq of each path's first 'ready': the state machine as a batch. A sample of a missing file (null size) and
+    every `retries`-th one that is not ready forget what was before; the next is a first one."""
     w = W.partitionBy("path").orderBy("seq")
-    same = (F.lag("size").over(w) == F.col("size")) & (F.lag("mtime").over(w) == F.col("mtime")) & (F.col("size") >= min_bytes)
-    return samples.withColumn("_same", same).where("_same").groupBy("path").agg(F.min("seq").alias("seq"))
+    gone = F.sum(F.col("size").isNull().cast("int")).over(w)
+    runs = samples.withColumn("_run", F.when(F.col("size").isNull(), -1).otherwise(gone))
+    inside = W.partitionBy("path", "_run").orderBy("seq")
+    same = (F.lag("size").over(inside) == F.col("size")) & F.lag("mtime").over(inside).eqNullSafe(F.col("mtime")) & (F.col("size") >= min_bytes)
+    told = runs.withColumns({"_same": same, "_try": (F.row_number().over(inside) - 1) % retries})
+    return told.where("_same and _try > 0 and _run >= 0").groupBy("path").agg(F.min("seq").alias("seq"))
 
 
 def net_events(events: DataFrame) -> DataFrame:
-    """path, event of one tick: the last event of a path (path, seq, event) counts, so a delete cancels a pending
-    change; deletes come first (step 0), then modifies (step 1)."""
-    last = events.groupBy("path").agg(F.max_by("event", "seq").alias("event"))
-    return last.withColumn("step", F.when(F.col("event") == "delete", 0).otherwise(1))
+    """path, event, step of one tick's events (path, seq, event): a path's delete (step 0) stands whatever follows and
+    cancels the modifies before it; a modify after the last delete stands too (step 1)."""
+    last = lambda kind: F.max(F.when(F.col("event") == kind, F.col("seq")))
+    ends = events.withColumn("event", F.when(F.col("event") == "delete", "delete").otherwise("modify")).groupBy("path").agg(last("delete").alias("_gone"), last("modify").alias("_new"))
+    kinds = F.array(F.when(F.col("_gone").isNotNull(), F.struct(F.lit("delete").alias("event"), F.lit(0).alias("step"))), F.when(F.col("_new").isNotNull() & (F.col("_gone").isNull() | (F.col("_new") > F.col("_gone"))), F.struct(F.lit("modify").alias("event"), F.lit(1).alias("step"))))
+    return ends.select("path", F.explode(F.array_compact(kinds)).alias("x")).select("path", "x.*")
 
 
 def run_events(stream: DataFrame, delete: Callable[[DataFrame], None], modify: Callable[[DataFrame], None], checkpoint: str, seconds: int = 3):
@@ -98,7 +106,19 @@ def backfill_ocr(pages: DataFrame, files: DataFrame, ocr: DataFrame, recognize:
     return ocr.unionByName(orphan_pages(pages, files, ocr, now).select(*ocr.columns))
 
 
-def start_rescan(spark: SparkSession, scan: Callable[[], None], checkpoint: str, seconds: int = 1800):
-    """Starts a query that calls scan every so many seconds; a scan that takes longer delays the next one."""
+def start_rescan(spark: SparkSession, scan: Callable[[], None], checkpoint: str, seconds: int = 1800, clock: Callable[[], float] = time.time):
+    """Starts a query that calls scan every so many seconds; where a scan runs over, the ticks it covers are skipped."""
+    ended: list[int] = []
+
+    def tick(_: DataFrame, __: int) -> None:
+        if due(ended, seconds, clock()):
+            scan()
+            ended[:] = [int(clock() // seconds)]
+
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return ticks.writeStream.foreachBatch(lambda _, __: scan()).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+    return ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
+def due(ended: list[int], seconds: float, now: float) -> bool:
+    """Whether a tick at `now` is to scan: not in the interval in which the last scan ended."""
+    return not ended or int(now // seconds) > ended[0]

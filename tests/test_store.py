@@ -1,12 +1,17 @@
 from __future__ import annotations
 
 import os
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quire.config import Settings, load
 from quire.functions.common import nearest_rank, numbered
-from quire.operators import evaluate, ingest, ocr, store
+from quire.operators import evaluate, indexer, ingest, ocr, store
+from quire.operators.index import VectorIndex
+from quire.sources.pages import stub_renderer
+from quire.sources.upload import stub_encoder
 
 TYPES = {"pages": "array<struct<page_num:bigint,width_px:bigint,height_px:bigint,thumb_path:string,regions:array<struct<kind:string,idx:bigint,bbox:struct<x:float,y:float,w:float,h:float>,phash:bigint,vector:array<float>>>>>"}
 
@@ -67,6 +72,96 @@ def test_ctc_and_lines(spark):
     assert ocr.page_text(lines).first().text == "a\nb"
 
 
+def test_read_pages(spark):
+    """Two rows of dark marks: found, put in order, read by a recogniser that tells a crop's grey value."""
+    page = np.zeros((40, 80), np.uint8)
+    for grey, (y, x) in {200: (5, 45), 220: (6, 10), 240: (25, 30)}.items():
+        page[y : y + 8, x : x + 20] = grey
+    rows = spark.createDataFrame([(1, page.tobytes(), 80, 40), (2, bytes(200), 20, 10), (3, None, 0, 0)], "page_id long, grey binary, width int, height int")
+    names = {200: 1, 220: 2, 240: 3}
+
+    def recognize(crops):
+        return [np.eye(4)[[0, names[int(c.max())], 0, 1]] for c in crops]
+
+    vocab = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "cls int, ch string")
+    got = {r.page_id: r.text for r in ocr.read_pages(rows, lambda p: (p > 100) * 0.9, recognize, vocab, batch=2).collect()}
+    assert got == {1: "BA\nAA\nCA", 2: "", 3: ""}
+
+
+def test_component_counts(spark):
+    rng = np.random.default_rng(2)
+    images = [(rng.random((h, w)) < 0.08).astype(np.uint8) * 255 for h, w in ((9, 13), (30, 17), (1, 5))]
+
+    def plain(mask):
+        h, w = mask.shape
+        grown = {(i, j) for y, x in np.argwhere(mask) for i in range(max(y - 1, 0), min(y + 2, h)) for j in range(max(x - 1, 0), min(x + 2, w))}
+        n = 0
+        while grown:
+            n, stack = n + 1, [grown.pop()]
+            while stack:
+                y, x = stack.pop()
+                near = {(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & grown
+                grown -= near
+                stack += near
+        return n
+
+    rows = spark.createDataFrame([(i.tobytes(), i.shape[1]) for i in images], "g binary, w int")
+    assert [r.n for r in rows.select(ocr.count_components("g", "w", F.lit(110)).alias("n")).collect()] == [plain(i > 0) for i in images]
+
+
+def test_index_folder(spark, tmp_path):
+    """A folder's life: new, changed, unchanged, excluded, broken and vanished files, in batches, with the vector index."""
+    docs = tmp_path / "docs"
+    (docs / "x").mkdir(parents=True)
+    linked = b"<?xpacket begin='x'?><egExtFL:files><rdf:li>file:///b.pdf</rdf:li></egExtFL:files><?xpacket end='w'?>"
+    for name, body in {"a.pdf": bytes(range(256)) * 8, "x/b.AI": b"second file " * 99, "x/c.pdf": linked, "d.pdf": b"broken", "e.txt": b"no"}.items():
+        (docs / name).write_bytes(body)
+
+    def render(content):
+        if content == b"broken":
+            raise ValueError
+        return stub_renderer(content)
+
+    shelf, index = store.Snapshots(spark, f"file://{tmp_path}/store"), VectorIndex.open(spark, f"file://{tmp_path}/index")
+    run = lambda now: indexer.index_folder(spark, shelf, [str(docs)], now, render, stub_encoder, index, batch=2)
+    now = int(time.time()) + 100
+    assert run(now) == {"index_new": 4, "vanished": 0, "indexed": 2, "excluded": 1, "failed": 1}
+    files = {r.filename: r for r in shelf.read("files").collect()}
+    assert files["c.pdf"].is_excluded == 1 and files["c.pdf"].exclusion_reason == indexer.REASON and files["d.pdf"].crash_attempts == 1 and files["d.pdf"].indexed_at is None
+    assert files["a.pdf"].page_count == 1 and files["a.pdf"].content_sha1 and files["a.pdf"].indexed_at == now
+    assert shelf.read("pages").count() == 2 and shelf.read("regions").count() == 20 and tuple(index.stats().first())[2] == 20
+    told = run(now + 1)
+    assert told["up_to_date"] == 2 and told["skip_excluded"] == 1 and told["reindex"] == 1 and told["failed"] == 1
+    assert run(now + 2)["skip_and_exclude"] == 1 and run(now + 3)["skip_blacklisted"] == 1
+    (docs / "a.pdf").write_bytes(b"changed bytes " * 300)
+    os.utime(docs / "a.pdf", (now + 500, now + 500))
+    os.utime(docs / "x/b.AI", (now + 500, now + 500))
+    (docs / "x/c.pdf").unlink()
+    told = run(now + 600)
+    assert (told["reindex"], told["refresh"], told["vanished"], told["indexed"]) == (1, 1, 1, 1)
+    regions = {r.id for r in shelf.read("regions").collect()}
+    assert len(regions) == 20 and len({r.page_id for r in shelf.read("regions").collect()}) == 2 and tuple(index.stats().first())[2] == 20
+    asked = shelf.read("regions").select(F.col("id").alias("query_id"), "vector")
+    best = index.search(asked, 1, probes=len(index.centroids))
+    assert {r.region_id for r in best.collect()} <= regions
+
+
+def test_snapshots_are_atomic(spark, tmp_path):
+    """A pointer is there before and after each commit; one that was never moved into place doesn't count."""
+    shelf = store.Snapshots(spark, f"file://{tmp_path}/store")
+    assert shelf.current() == {} and shelf.read("t", "x long").count() == 0
+    for n in range(4):
+        shelf.commit(t=spark.range(n))
+    shelf.commit(append=True, t=spark.range(10))
+    assert shelf.read("t").count() == 13
+    pointers = tmp_path / "store" / "pointers"
+    assert len([p for p in pointers.iterdir() if p.name.isdigit()]) == 3
+    (pointers / "_next-crashed").write_text("{")
+    assert store.Snapshots(spark, f"file://{tmp_path}/store").read("t").count() == 13
+    max(p for p in pointers.iterdir() if p.name.isdigit()).unlink()
+    assert shelf.read("t").count() == 3
+
+
 def test_reading_order(spark):
     boxes = spark.createDataFrame([(1, x, y, 50, 20) for x, y in ((300, 0), (200, 8), (100, 16), (0, 200))], "page_id long, x int, y int, w int, h int")
     got = [(r.x, r.y) for r in ocr.reading_order(boxes).orderBy("ord").collect()]
@@ -85,6 +180,12 @@ def test_components():
 def test_percentiles(spark):
     rows = spark.createDataFrame([("a", x) for x in (10, 20, 30, 40, 100)], "k string, v long")
     r = nearest_rank(rows, ["k"], "v", {"p50": 0.5, "p95": 0.95}).first()
+    rng = np.random.default_rng(0)
+    more = [(None if i % 7 == 0 else i % 3, float(rng.integers(0, 400)) if i % 11 else None) for i in range(4000)]
+    got = {r.k: r for r in nearest_rank(spark.createDataFrame(more, "k int, v double").repartition(5), ["k"], "v", {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()}
+    for k in (None, 0, 1, 2):
+        own = sorted(v for key, v in more if key == k and v is not None)
+        assert [got[k][n] for n in ("p05", "p50", "p95", "p100")] == [own[int((len(own) - 1) * p + 0.5)] for p in (0.05, 0.5, 0.95, 1.0)]
     assert (r.p50, r.p95) == (30, 100) and nearest_rank(rows.limit(0), ["k"], "v", {"p": 0.5}).count() == 0
 
 
