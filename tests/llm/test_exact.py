@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -99,6 +100,31 @@ def test_packing_odd_rows(odd, empty, tokenizer, monkeypatch):
     assert packing.pack_documents(empty).count() == 0
 
 
+def plain_pack(lengths, size):
+    """Longest first (ties in order), each to the cheapest sequence with room; else cut over the one with most room."""
+    bins = [[0, 0.0] for _ in range(math.ceil(sum(lengths) / size))]
+    out = []
+    for piece in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        start, left = 0, lengths[piece]
+        while left:
+            roomy = [b for b in range(len(bins)) if size - bins[b][0] >= left]
+            at = min(roomy, key=lambda b: bins[b][1]) if roomy else max(range(len(bins)), key=lambda b: size - bins[b][0])
+            take = min(left, size - bins[at][0])
+            out.append((piece, start, take, at, bins[at][0]))
+            bins[at][0] += take
+            bins[at][1] += packing.LINEAR * take + packing.QUADRATIC * take * take
+            start, left = start + take, left - take
+    return out
+
+
+def test_pack_follows_the_cost_rule():
+    rng = random.Random(6)
+    for size in (7, 64, 2048):
+        for n in (0, 1, 5, 80):
+            lengths = [rng.randrange(1, size) for _ in range(n)]
+            assert packing.pack(np.array(lengths, np.int64), size) == plain_pack(lengths, size)
+
+
 def test_pack_balances_costs():
     lengths = np.array([900, 800, 700, 600, 500, 400, 100, 50, 40, 6])
     placed = packing.pack(lengths, 2048)
