@@ -237,6 +237,9 @@ def test_phrases_with_odd_characters(spark, monkeypatch):
     assert got == {(r.phrase, r.page_id, r.tf) for r in fulltext.matches(pages, wanted, fulltext.postings(pages.where("text is not null"))).collect()}
     only = fulltext.postings(pages.where("text is not null"), fulltext.trigrams_of(wanted))
     assert got == {(r.phrase, r.page_id, r.tf) for r in fulltext.matches(pages, wanted, only).collect()}
+    made = sorted(map(tuple, only.collect()))
+    monkeypatch.setattr(fulltext, "FEW_TRIGRAMS", 1)
+    assert made == sorted(map(tuple, fulltext.postings(pages.where("text is not null"), fulltext.trigrams_of(wanted)).collect()))
     monkeypatch.setattr(fulltext, "FEW_PHRASES", 2)
     assert got == {(r.phrase, r.page_id, r.tf) for r in fulltext.matches(pages, wanted).collect()}
 
