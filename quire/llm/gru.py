@@ -1,7 +1,7 @@
 """A bidirectional gated recurrent network with attention pooling, in numpy: windows of words to one logit.
 
 A word's vector is a hashed embedding of the word plus the mean of hashed embeddings of its character
-n-grams; of a long run without blanks each of its overlapping pieces is a word. Both directions run as one batched recurrence: arrays have the direction as first axis.
+n-grams and beginnings; of a long run without blanks each of its overlapping pieces is a word. Both directions run as one batched recurrence: arrays have the direction as first axis.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from .words import hashes, mix
 
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN, WINDOW, STRIDE = 1 << 17, 1 << 17, 10, 8, 32, 16
 NGRAMS = (3, 4)
+#: Bytes of the beginnings of a word, its left edge among them, that count as n-grams too: the stems that 4-grams can't tell apart.
+BEGINNINGS = (5, 6, 7, 8)
 #: Bytes of the longest word that stays whole; of the pieces that a longer one is split into; and from one to the next.
 LONGEST, PIECE, PIECE_STEP = 40, 24, 12
 _PUNCTUATION = np.isin(np.arange(256), list(b".,;:!?\"'()[]{}*#$%&|<>-_"))
@@ -63,8 +65,8 @@ def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     letters = np.where(edge, 1, data[source] if len(data) else 0).astype(np.uint64)
     rows, owners = [], []
     owner = np.repeat(np.arange(len(kinds)), size)
-    for n in NGRAMS:
-        room = np.flatnonzero(inside + n <= np.repeat(size, size))
+    for n in NGRAMS + BEGINNINGS:
+        room = np.flatnonzero(inside + n <= np.repeat(size, size)) if n in NGRAMS else begin[:-1][n <= size]
         h = np.full(len(room), n, np.uint64)
         for k in range(n):
             h = h * np.uint64(0x100000001B3) + letters[room + k]
@@ -153,7 +155,7 @@ class Network:
         g["att"] = np.einsum("tns,tnh->sh", states, d_hidden)
         d_states = weight[:, :, None] * d_pooled + d_hidden @ self.p["att"].T
         dh = np.zeros((2, len(d), HIDDEN), np.float32)
-        d_inputs = np.zeros_like(inputs)
+        d_steps = np.zeros((2, index.shape[1], len(d), 3 * HIDDEN), np.float32)
         g["gates"], g["cand"] = np.zeros_like(self.p["gates"]), np.zeros_like(self.p["cand"])
         steps = index.shape[1]
         for t in reversed(range(steps)):
@@ -169,8 +171,13 @@ class Network:
             g["gates"] += h.transpose(0, 2, 1) @ d_gates
             full = np.concatenate([d_gates, dc], 2)
             for k in (0, 1):
-                np.add.at(d_inputs[k], index[:, at[k]], full[k])
+                d_steps[k, at[k]] = full[k]
             dh = dh * (1 - m * z) + d_rh * r + d_gates @ self.p["gates"].transpose(0, 2, 1)
+        word = index.T.ravel()
+        order = np.argsort(word, kind="stable")
+        head = np.flatnonzero(np.r_[True, np.diff(word[order]) > 0])
+        d_inputs = np.zeros_like(inputs)
+        d_inputs[:, word[order][head]] = np.add.reduceat(d_steps.reshape(2, -1, 3 * HIDDEN)[:, order], head, axis=1)
         d_inputs = d_inputs[:, :-1]
         g["bias"] = d_inputs.sum(1, keepdims=True)
         g["x"] = vectors.T @ d_inputs
@@ -187,7 +194,7 @@ class Trainer:
         self.s = {k: np.zeros_like(v) for k, v in self.m.items()}
         self.rows = {k: np.full(len(net.p[k]), 1e-6, np.float32) for k in ("word", "char")}
 
-    def step(self, words: Words, index: np.ndarray, mask: np.ndarray, target: np.ndarray, importance: np.ndarray, rng, unknown: float = 0.3) -> None:
+    def step(self, words: Words, index: np.ndarray, mask: np.ndarray, target: np.ndarray, importance: np.ndarray, rng, unknown: float = 0.6) -> None:
         """One step; a share `unknown` of the batch's words is shown without its row of the word table (as row 0)."""
         used, local = np.unique(index[mask > 0], return_inverse=True)
         small = np.full(index.shape, len(used))

@@ -1,8 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network over all overlapping windows of a text.
 
 Trained in numpy on the driver, on all windows of a bounded sample of labelled documents. Labels are of
-documents; the windows of a toxic one that count as toxic are those with a word whose parts toxic
-documents use far more often than others, and its likeliest one. A document's logit is that of its
+documents; the windows of a toxic one that count as toxic are those with a word of which a part is far
+more usual in toxic documents than in others, and its likeliest one. A document's logit is that of its
 most toxic window, calibrated on documents of the sample that were set aside.
 """
 
@@ -76,8 +76,8 @@ def sample(rows: DataFrame, known: DataFrame, most_docs: int, most_bytes: int) -
 
 
 def evidence(words: Words, index: np.ndarray, mask: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """For each window the strongest sign of a toxic word: the highest mean, over a word's rows of the
-    embedding tables, of the shrunken log-odds that a toxic or other document uses the row."""
+    """For each window the strongest sign of a toxic word: over the rows of the embedding tables that its words
+    use, the highest shrunken log-odds that a toxic or other document uses the row."""
     rows = np.concatenate([words.rows, words.grams + WORD_ROWS])
     owner = np.concatenate([np.arange(len(words.rows)), np.repeat(np.arange(len(words.rows)), np.diff(words.begins))])
     used = np.unique((doc[:, None] * (len(words.rows) + 1) + index)[mask > 0])
@@ -91,11 +91,11 @@ def evidence(words: Words, index: np.ndarray, mask: np.ndarray, doc: np.ndarray,
     seen = [np.bincount(row[label[of] == k], minlength=WORD_ROWS + CHAR_ROWS) / max((label == k).sum(), 1) for k in (0, 1)]
     shrink = 3 / max(min((label == 0).sum(), (label == 1).sum()), 1)
     odds = np.log((seen[1] + shrink) / (seen[0] + shrink))
-    mean = np.bincount(owner, weights=odds[rows]) / np.bincount(owner)
-    return np.where(mask > 0, np.append(mean, 0)[index], -np.inf).max(1)
+    sign = np.maximum.reduceat(odds[rows][order], first[:-1])
+    return np.where(mask > 0, np.append(sign, 0)[index], -np.inf).max(1)
 
 
-def fit(docs: np.ndarray, toxic: np.ndarray, texts: list[bytes], prior: float = 0.5, steps: int = 900, rounds: int = 10, batch: int = 256, strong: float = 1.0, seed: int = 3) -> Model:
+def fit(docs: np.ndarray, toxic: np.ndarray, texts: list[bytes], prior: float = 0.5, steps: int = 900, rounds: int = 10, batch: int = 256, strong: float = 1.5, seed: int = 3) -> Model:
     """A model from all windows of labelled texts. A fifth of the documents calibrate, for a share `prior` of toxic ones
     among all. Half of a batch are windows that count as toxic."""
     if len(set(toxic.tolist())) < 2:
