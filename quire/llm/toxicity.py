@@ -81,17 +81,21 @@ def evidence(words: Words, index: np.ndarray, mask: np.ndarray, doc: np.ndarray,
     rows = np.concatenate([words.rows, words.grams + WORD_ROWS])
     owner = np.concatenate([np.arange(len(words.rows)), np.repeat(np.arange(len(words.rows)), np.diff(words.begins))])
     used = np.unique((doc[:, None] * (len(words.rows) + 1) + index)[mask > 0])
-    by_doc, word = used // (len(words.rows) + 1), used % (len(words.rows) + 1)
+    begins = np.searchsorted(used, np.arange(len(label) + 1) * (len(words.rows) + 1))
     order = np.argsort(owner, kind="stable")
     first = np.searchsorted(owner[order], np.arange(len(words.rows) + 1))
-    size = np.diff(first)[word]
-    flat = np.repeat(first[word] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    pairs = np.unique(np.repeat(by_doc, size) * (WORD_ROWS + CHAR_ROWS) + rows[order][flat])
-    of, row = pairs // (WORD_ROWS + CHAR_ROWS), pairs % (WORD_ROWS + CHAR_ROWS)
-    seen = [np.bincount(row[label[of] == k], minlength=WORD_ROWS + CHAR_ROWS) / max((label == k).sum(), 1) for k in (0, 1)]
+    sizes, by_word = np.diff(first), rows[order]
+    seen = np.zeros((2, WORD_ROWS + CHAR_ROWS))
+    # document by document, as all of their words' rows at once would be many times the texts
+    for k in range(len(label)):
+        word = used[begins[k] : begins[k + 1]] - k * (len(words.rows) + 1)
+        size = sizes[word]
+        flat = np.repeat(first[word] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        seen[label[k], np.unique(by_word[flat])] += 1
+    seen /= np.maximum([[(label == 0).sum()], [(label == 1).sum()]], 1)
     shrink = 3 / max(min((label == 0).sum(), (label == 1).sum()), 1)
     odds = np.log((seen[1] + shrink) / (seen[0] + shrink))
-    sign = np.maximum.reduceat(odds[rows][order], first[:-1])
+    sign = np.maximum.reduceat(odds[by_word], first[:-1])
     return np.where(mask > 0, np.append(sign, 0)[index], -np.inf).max(1)
 
 
