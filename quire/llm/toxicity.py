@@ -99,9 +99,10 @@ def evidence(words: Words, index: np.ndarray, mask: np.ndarray, doc: np.ndarray,
     return np.where(mask > 0, np.append(sign, 0)[index], -np.inf).max(1)
 
 
-def fit(docs: np.ndarray, toxic: np.ndarray, texts: list[bytes], prior: float = 0.5, steps: int = 900, rounds: int = 10, batch: int = 256, strong: float = 1.5, seed: int = 3) -> Model:
+def fit(docs: np.ndarray, toxic: np.ndarray, texts: list[bytes], prior: float = 0.5, steps: int = 900, rounds: int = 10, batch: int = 256, strong: float = 1.5, miss_cost: float = 3.0, seed: int = 3) -> Model:
     """A model from all windows of labelled texts. A fifth of the documents calibrate, for a share `prior` of toxic ones
-    among all. Half of a batch are windows that count as toxic."""
+    among all; a score of 0.5 is where a missed toxic document, of cost miss_cost, weighs as much as a false alarm, of
+    cost 1. Half of a batch are windows that count as toxic."""
     if len(set(toxic.tolist())) < 2:
         return Model(Network(), 1.0, 0.0, float(toxic[0]) if len(toxic) else 0.5)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -145,7 +146,7 @@ def fit(docs: np.ndarray, toxic: np.ndarray, texts: list[bytes], prior: float =
     np.maximum.at(top, doc, now)
     check = np.unique(doc[aside]) if aside.any() else np.arange(len(kinds))
     slope, offset = calibrated(top[check], label[check])
-    return Model(net, slope, offset + float(np.log(prior / (1 - prior))))
+    return Model(net, slope, offset + float(np.log(miss_cost * prior / (1 - prior))))
 
 
 def _all_logits(net: Network, words, index: np.ndarray, mask: np.ndarray) -> np.ndarray:

@@ -242,6 +242,22 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.predicted == r.toxic for r in got]) >= 0.93
 
 
+def test_toxicity_of_stems():
+    """Toxic words that share a stem of common syllables with new endings, so that neither whole words nor short n-grams tell."""
+    rng = np.random.default_rng(1)
+    syllables = [f"{a}{b}" for a in "klmnprst" for b in "aeiou"]
+    made = lambda n: "".join(rng.choice(syllables, n))
+    texts, toxic = [], np.arange(1100) % 4 == 0
+    for k in toxic:
+        text = [made(rng.integers(2, 6)) for _ in range(rng.integers(20, 90))]
+        for i in rng.integers(0, len(text), 1 + len(text) // 30) if k else ():
+            text[i] = "naretipo" + made(rng.integers(1, 4))
+        texts.append(" ".join(text))
+    model = toxicity.fit(np.arange(1000), toxic[:1000].astype(int), [t.encode() for t in texts[:1000]], 0.25)
+    z = toxicity.logits(model.net, block(*texts[1000:]))
+    assert np.mean((model.slope * z + model.offset >= 0) == toxic[1000:]) >= 0.95
+
+
 def test_long_words_are_read_whole():
     texts = ["abc " + "x" * 39 + " y", "ö" * 500 + "z" * 7 + " a", "", "-".join(f"w{i}" for i in range(100)), "q" * 41, "q" * 40]
     b = block(*texts)
