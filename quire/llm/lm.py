@@ -8,7 +8,8 @@ the counts that estimate it.
 Counts are over all training documents. Bigrams are shipped as sorted binary runs of 32-bit
 differences, by a bijective hash of the pair of word numbers, and never as a row each; scores come
 back summed by document. The numbered vocabulary is sent to the workers up to max_vocab words
-(about 100 MB); beyond, the same model is computed by joins.
+(about 100 MB); beyond, the same model is computed without one: blocks of tokens ask parts of the
+hashed words and pairs for their counts, so nothing is held whole anywhere.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.runtime import bound_batches, staged
+from quire.runtime import bound_batches, staged, unstage
 
 from .words import Block, hashes, lower_ascii, mix, spans, tidy
 from .words import blocks as blocks_of
@@ -153,14 +154,15 @@ def count_pairs(vocabulary, parts: int):
 CELLS = "cell long, w double, p2 double, p1 double"
 
 
-def _cells(c: np.ndarray, cu: np.ndarray, cv: np.ndarray, total: int) -> pa.RecordBatch:
-    """Events with the estimates that remain when one of them is deleted, summed over cells of like values."""
+def _cells(c: np.ndarray, cu: np.ndarray, cv: np.ndarray, total: int, events: np.ndarray | None = None) -> pa.RecordBatch:
+    """Events (c, or those given of them) with the estimates that remain when one is deleted, summed over cells of like values."""
     p2 = np.where(cu > 1, (c - 1) / np.maximum(cu - 1, 1), 0.0)
     p1 = (cv - 1) / max(total - 1, 1)
     grid = lambda p: np.where(p > 0, np.clip(np.round(-np.log2(np.maximum(p, 1e-18)) * 2), 0, 118) + 1, 0).astype(np.int64)
     cell = (bucket(np.maximum(cu - 1, 0)) * 128 + grid(p2)) * 128 + grid(p1)
     kinds, back = np.unique(cell, return_inverse=True)
-    sums = [np.bincount(back, weights=x, minlength=len(kinds)) for x in (c.astype(float), c * p2, c * p1)]
+    events = (c if events is None else events).astype(float)
+    sums = [np.bincount(back, weights=x, minlength=len(kinds)) for x in (events, events * p2, events * p1)]
     return pa.RecordBatch.from_arrays([pa.array(kinds), *map(pa.array, sums)], ["cell", "w", "p2", "p1"])
 
 
@@ -202,14 +204,6 @@ def cells_of(vocabulary, total: int, parts: int, hot: int):
     return run
 
 
-def cells_of_counts(total: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _cells(*(batch.column(k).to_numpy(zero_copy_only=False) for k in ("c", "cu", "cv")), total)
-
-    return run
-
-
 def learn(cells: pd.DataFrame, uniform: float, rounds: int = 60) -> np.ndarray:
     """BUCKETS x 3 mixture weights by expectation-maximisation over the cells; where there are no events, an even mix."""
     weights = np.full((BUCKETS, 3), 1 / 3)
@@ -358,15 +352,17 @@ def lm_scores(docs: DataFrame, held_out: Column, part_rows: int = 1_500_000, max
     0x09-0x0D, A-Z lower-cased) and one end; a null or empty text is one end. n_known: tokens seen in
     training. base_score: add-one unigram log10 probability. score: the model's. Repeated rows count
     each. Without training rows every estimate but the uniform one is 0. Empty input: no rows. Only
-    doc_id and text (and what held_out reads) are read. Words are told apart by 64-bit hashes.
+    doc_id and text (and what held_out reads) are read. Words are told apart by 64-bit hashes, and
+    above max_vocab pairs of words too.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(~held_out, F.lit(True)).alias("train"))
-    vocab = staged(rows.select("text", "train").where("train").mapInArrow(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")
+    vocab = staged(rows.select("text", "train").where("train").mapInArrow(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary", free=True)
     size, total = vocab.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     if size > max_vocab:
-        return _by_joins(rows, vocab, size, total)
+        unstage(vocab)
+        return _by_parts(rows, size, total, part_rows)
     table = vocab.toArrow()
     order = np.argsort(hashed := table.column("h").to_numpy().view(np.uint64))
     counts = table.column("c").to_numpy()[order]
@@ -374,7 +370,7 @@ def lm_scores(docs: DataFrame, held_out: Column, part_rows: int = 1_500_000, max
     hot = max(part_rows, math.ceil(total / HOT_SHARE))
     parts = max(1, math.ceil(total / part_rows))
     counted = rows.where("train").select("text", "train").mapInArrow(count_pairs(vocabulary, parts), COUNTS)
-    learned = staged(counted.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(cells_of(vocabulary, total, parts, hot)), LEARNED), "learned")
+    learned = staged(counted.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(cells_of(vocabulary, total, parts, hot)), LEARNED), "learned", free=True)
     cells = learned.where("cell IS NOT NULL").groupBy("cell").agg(*(F.sum(x).alias(x) for x in ("w", "p2", "p1"))).toPandas()
     weights = learn(cells, 1 / (size + 1))
     hots = learned.where("key IS NOT NULL").select("key", "c").toPandas()
@@ -387,36 +383,175 @@ def lm_scores(docs: DataFrame, held_out: Column, part_rows: int = 1_500_000, max
     return answered.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(gather(total)), RESULT)
 
 
-def explode_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, without the upper ones that are 0 in all of them."""
+    x = np.ascontiguousarray(x, np.uint64)
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def opened(packed: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(packed) // n] = np.frombuffer(packed, np.uint8).reshape(-1, n).T
+    return out.view(np.uint64)[:, 0]
+
+
+def _low(part: int, parts: int) -> np.uint64:
+    """The smallest 64-bit key of a part."""
+    return np.uint64(-(-(part << 32) // parts) << 32)
+
+
+def cut(keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes, int]]:
+    """Of sorted distinct 64-bit keys: each part, its run as packed differences, their counts and how many they are."""
+    part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    for i, j in zip(heads, np.r_[heads[1:], len(keys)], strict=True):
+        yield int(part[i]), squeezed(np.diff(keys[i:j], prepend=_low(int(part[i]), parts))), squeezed(counts[i:j]), int(j - i)
+
+
+BLOCKS = "block long, tokens long, words long, ids binary, marks binary, begins binary, kinds binary, places binary"
+RUNS = "block long, part long, a binary, b binary, n long"
+ANSWERS = "block long, part long, a binary, n long"
+
+
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
+
+
+def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block of documents as a row: its distinct words, and the place of each token among them."""
+    number = TaskContext.get().partitionId() << 32
     for block in blocks(batches):
         toks, begins = tokens(block)
-        doc = np.repeat(np.arange(block.n), np.diff(begins))
-        columns = {k: block.rows.column(k).take(pa.array(doc)) for k in ("rid", "doc_id", "train")}
-        columns |= {"u": pa.array(contexts(toks, begins, END).view(np.int64)), "v": pa.array(toks.view(np.int64))}
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-
-def _by_joins(rows: DataFrame, vocab: DataFrame, size: int, total: int) -> DataFrame:
-    """The same model for any vocabulary: a row for each token, joined with the tables of counts."""
-    rows = rows.withColumn("rid", F.monotonically_increasing_id())
-    tokens_ = staged(rows.mapInArrow(explode_bigrams, "rid long, doc_id long, train boolean, u long, v long"), "tokens")
-    pairs = tokens_.groupBy("u", "v").agg(F.sum(F.col("train").cast("long")).alias("c"))
-    first = vocab.select(F.col("h").alias("u"), F.col("c").alias("cu"))
-    second = vocab.select(F.col("h").alias("v"), F.col("c").alias("cv"))
-    pairs = staged(pairs.join(first, "u", "left").join(second, "v", "left").fillna(0, ["cu", "cv"]), "pairs")
-    cells = pairs.where("c > 0").mapInArrow(cells_of_counts(total), CELLS).groupBy("cell").agg(*(F.sum(x).alias(x) for x in ("w", "p2", "p1"))).toPandas()
-    weights = learn(cells, 1 / (size + 1))
+        kinds, places = np.unique(toks, return_inverse=True)
+        ids = block.rows.column("doc_id")
+        marks = np.stack([_flags(block), np.array(ids.is_null().to_pylist(), bool)]).astype(np.uint8)
+        packed = (ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), marks.tobytes(), begins.astype(np.int64).tobytes(), squeezed(np.diff(kinds, prepend=np.uint64(0))), squeezed(places))
+        yield _table([(number, len(toks), len(kinds), *packed)], BLOCKS)
+        number += 1
+
+
+class Tokens:
+    """A row of BLOCKS, unpacked: pairs are its distinct bigrams' keys, in order; of each, u and v are the places of its
+    words and events how often it occurs in training documents; bigram is the place of each token's."""
+
+    def __init__(self, row: dict):
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.train, self.null = np.frombuffer(row["marks"], np.uint8).reshape(2, -1).astype(bool)
+        begins = np.frombuffer(row["begins"], np.int64)
+        self.kinds = np.cumsum(opened(row["kinds"], row["words"]), dtype=np.uint64)
+        self.places = opened(row["places"], row["tokens"]).astype(np.int64)
+        self.lengths = np.diff(begins)
+        self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
+        u = contexts(self.places, begins, np.searchsorted(self.kinds, END))
+        self.pairs, at, self.bigram = np.unique(mix(mix(self.kinds[u]) + self.kinds[self.places]), return_index=True, return_inverse=True)
+        self.u, self.v = u[at], self.places[at]
+        learned = self.train[self.doc]
+        self.events = np.bincount(self.bigram[learned], minlength=len(self.pairs))
+        self.word_events = np.bincount(self.places[learned], minlength=len(self.kinds))
+
+
+def ask(word_parts: int, pair_parts: int):
+    """The distinct words and bigrams of each block that belong to a part, and how often they occur in training documents."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, cu, cv = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("c", "cu", "cv"))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), batch.column("cv"), pa.array(log_probability(c, cu, cv, total, size, weights))], ["u", "v", "cv", "log"])
-
-    scored = tokens_.join(pairs.mapInArrow(score, "u long, v long, cv long, log double"), ["u", "v"])
-    base = F.log10((F.col("cv") + 1) / F.lit(float(total + size + 1)))
-    sums = [F.count("*").alias("n_tokens"), F.sum((F.col("cv") > 0).cast("long")).alias("n_known"), F.sum(base).alias("base_score"), F.sum("log").alias("score")]
-    out = scored.groupBy("rid", "doc_id", "train").agg(*sums)
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                own = Tokens(row)
+                rows = [(row["block"], *x) for x in cut(own.kinds, own.word_events, word_parts)]
+                rows += [(row["block"], word_parts + part, *x) for part, *x in cut(own.pairs, own.events, pair_parts)]
+                yield _table(rows, RUNS)
+
+    return run
+
+
+def tell(word_parts: int, pair_parts: int):
+    """The counts over all blocks of each run's words or bigrams, in the run's order."""
+
+    def solve(part: int, held: list[tuple]) -> pa.RecordBatch:
+        low = _low(part, word_parts) if part < word_parts else _low(part - word_parts, pair_parts)
+        keys = np.concatenate([np.cumsum(opened(a, n), dtype=np.uint64) for _, a, _, n in held]) + low
+        counts = np.concatenate([opened(b, n) for _, _, b, n in held])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        is_head = np.r_[True, keys[1:] != keys[:-1]]
+        del keys
+        sums = np.add.reduceat(counts[order], np.flatnonzero(is_head))
+        counts[order] = sums[np.cumsum(is_head) - 1]
+        ends = np.cumsum([n for *_, n in held])
+        return _table([(block, part, squeezed(counts[end - n : end]), n) for (block, _, _, n), end in zip(held, ends, strict=True)], ANSWERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for part, *rest in zip(*(batch.column(k).to_pylist() for k in ("part", "block", "a", "b", "n")), strict=True):
+                if part != now and held:
+                    yield solve(now, held)
+                    held = []
+                now = part
+                held.append(rest)
+        if held:
+            yield solve(now, held)
+
+    return run
+
+
+def told(batches: Iterator[pa.RecordBatch], word_parts: int) -> Iterator[tuple]:
+    """Each block (Tokens), the counts of its words and of its bigrams, and of their first and second words."""
+
+    def finish(row: dict, found: list[tuple]):
+        own = Tokens(row)
+        words, c = (np.concatenate([opened(a, n) for part, a, n in found if (part < word_parts) == first]).astype(np.int64) for first in (True, False))
+        return own, words, c, words[own.u], words[own.v]
+
+    base, found = None, []
+    for batch in batches:
+        for i, (part, a, n) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("part", "a", "n")), strict=True)):
+            if part >= 0:
+                found.append((part, a, n))
+                continue
+            if base:
+                yield finish(base, found)
+            base, found = batch.slice(i, 1).to_pylist()[0], []
+    if base:
+        yield finish(base, found)
+
+
+def _by_parts(rows: DataFrame, size: int, total: int, part_rows: int) -> DataFrame:
+    """The same model for any vocabulary. Blocks send their distinct words and bigrams to the parts of the hashes they
+    belong to and get the counts back, once to learn the weights and once to score."""
+    stored = staged(rows.mapInArrow(tokenised, BLOCKS), "tokens", compression="zstd", **{"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 4})
+    n_tokens, n_words = stored.agg(F.sum("tokens"), F.sum("words")).first()
+    word_parts, pair_parts = (max(1, math.ceil((n or 0) / (2 * part_rows))) for n in (n_words, n_tokens))
+    asked = stored.mapInArrow(tidy(ask(word_parts, pair_parts)), RUNS)
+    answers = staged(asked.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(tell(word_parts, pair_parts)), ANSWERS), "counts", free=True, compression="zstd")
+    both = stored.withColumn("part", F.lit(-1).cast("long")).unionByName(answers, allowMissingColumns=True)
+    both = both.repartition("block").sortWithinPartitions("block", "part")
+
+    def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, _, c, cu, cv in told(batches, word_parts):
+            seen = own.events > 0
+            yield _cells(c[seen], cu[seen], cv[seen], total, own.events[seen])
+
+    cells = both.mapInArrow(tidy(events), CELLS).groupBy("cell").agg(*(F.sum(x).alias(x) for x in ("w", "p2", "p1")))
+    weights = learn(staged(cells, "cells", free=True).toPandas(), 1 / (size + 1))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, words, c, cu, cv in told(batches, word_parts):
+            sums = lambda x: np.bincount(own.doc, weights=x, minlength=len(own.ids))  # noqa: E731, B023
+            cw = words[own.places]
+            base = sums(np.log10((cw + 1) / (total + size + 1)))
+            logs = sums(log_probability(c, cu, cv, total, size, weights)[own.bigram])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own.ids, mask=own.null), pa.array(~own.train), pa.array(own.lengths), pa.array(sums(cw > 0).astype(np.int64)), pa.array(np.full(len(own.ids), total)), pa.array(base), pa.array(logs)],
+                [x.split()[0] for x in RESULT.split(", ")],
+            )
+
+    return both.mapInArrow(tidy(score), RESULT)
 
 
 def op3_deleted_interpolation(spark, sf_dir: str) -> DataFrame:

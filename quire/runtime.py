@@ -46,12 +46,23 @@ def bound_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
             spark.conf.set(key, rows)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, label: str, free: bool = False, **options: object) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage so that lost executors
-    cost a reread, and lets several consumers use one computation. Removed when the JVM ends."""
+    cost a reread, and lets several consumers use one computation. Removed when the JVM ends.
+    With free, the shuffle files that df needed go at once, not when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    if free:
+        spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if free:
+            spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import gru, licenses, lm, quality, toxicity, words
+from quire.runtime import FREE_SHUFFLES, staged
 
 from .conftest import odd_rows
 
@@ -172,6 +174,64 @@ def test_lm_learns_from_all_bigrams_on_both_paths(docs, odd, monkeypatch):
         assert all(events == total and np.allclose(weights, kept[0][1], atol=1e-9) for events, weights in kept)
 
 
+def on_disk(spark):
+    """Bytes of the session's shuffle files, and of its staged tables."""
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles())
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    return sum(f.length() for f in files), sum(f.stat().st_size for f in shared.rglob("*.parquet"))
+
+
+def test_lm_beyond_the_vocabulary_needs_little_disk(spark, docs, sf, monkeypatch):
+    found, write, stored = [], lm.staged, on_disk(spark)[1]
+
+    def spy(df, label, *_, **options):
+        before = on_disk(spark)[0]
+        table = write(df, label, **{k: v for k, v in options.items() if k != "free"})
+        shuffled, tables = on_disk(spark)
+        found.append(shuffled - before + tables - stored)
+        return table
+
+    monkeypatch.setattr(lm, "staged", spy)
+    scores = lm.lm_scores(docs, held(), max_vocab=1)
+    before = on_disk(spark)[0]
+    scores.write.format("noop").mode("overwrite").save()
+    found.append(on_disk(spark)[0] - before + on_disk(spark)[1] - stored)
+    assert max(found) < 4 * Path(f"{sf}/documents.parquet").stat().st_size
+
+
+def test_staged_frees_its_shuffle_files(spark):
+    rows = spark.range(100_000).repartition(3, "id")
+    before = on_disk(spark)[0]
+    table = staged(rows, "freed", free=True)
+    assert on_disk(spark)[0] < before + 100_000 and table.count() == 100_000
+    assert spark.conf.get(FREE_SHUFFLES) == "false"
+
+
+def test_lm_by_many_parts(docs, odd, monkeypatch):
+    kept = []
+    learn = lm.learn
+    monkeypatch.setattr(lm, "learn", lambda *a, **b: kept.append(learn(*a, **b)) or kept[-1])
+    for df in (docs, odd):
+        got = lm.lm_scores(df, held(), max_vocab=1, part_rows=200).collect()
+        want = brute_lm([tuple(r) for r in df.select("doc_id", "text").collect()], kept[-1])
+        key = lambda r: (r[0] is None, r[0] or 0, r[1], r[4])
+        got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key)
+        for a, b in zip(got, sorted(want, key=key), strict=True):
+            assert a[:4] == b[:4] and np.allclose(a[4:], b[4:], rtol=1e-9)
+
+
+def test_cut_runs_come_back():
+    rng = np.random.default_rng(2)
+    keys = np.unique(np.r_[rng.integers(0, 1 << 64, 5000, dtype=np.uint64), np.uint64(0), np.uint64((1 << 64) - 1)])
+    counts = rng.integers(0, 1 << 40, len(keys)).astype(np.uint64)
+    for parts in (1, 3, 700):
+        runs = list(lm.cut(keys, counts, parts))
+        assert [p for p, *_ in runs] == sorted({int(k) * parts >> 64 for k in keys})
+        assert np.array_equal(np.concatenate([np.cumsum(lm.opened(a, n), dtype=np.uint64) + lm._low(p, parts) for p, a, _, n in runs]), keys)
+        assert np.array_equal(np.concatenate([lm.opened(b, n) for _, _, b, n in runs]), counts)
+
+
 def test_lm_beats_the_base(docs):
     row = lm.lm_scores(docs, held()).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert row[0] > row[1]
