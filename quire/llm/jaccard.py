@@ -13,7 +13,8 @@
    square cells that are dealt out to tasks.
 4. A group is opened in bins of its members. A bin has the union of its members' whole sets; a query
    that overlaps it too little is passed over, others are counted against all members at once. As a
-   group is connected, one link of a query with it is enough.
+   group is connected, one link of a query with it is enough, and one between two groups. What was found joins
+   groups, so the last components are those of groups, not of documents.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ MOST_BITS = 22
 #: Groups of one shingle that are paired in one task; shingles of at least SALTED documents are not even gathered in one.
 RUN, SALTED = 4_000, 100_000
 PART_ROWS = 400_000
+#: Rows of pairs that a worker hands over at once: the JVM holds a batch outside of its heap.
+SHIPPED = 50_000
 #: Members in a bin of an opened group, and queries that meet one copy of the bin.
 BIN, QUERIES = 128, 256
 NO_ID = -(1 << 63)
@@ -147,24 +150,29 @@ def fitting(tokens, gids, low, high, least, num: int, den: int, sides: np.ndarra
 
 
 def counted(pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """a, b, shared of pairs, added up in batches."""
+    """a, b, shared of pairs, added up in batches, in pieces of SHIPPED rows."""
 
-    def made() -> pa.RecordBatch:
+    def made() -> Iterator[pa.RecordBatch]:
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array(b[head]), pa.array(np.diff(np.r_[head, len(a)]))], ["a", "b", "shared"])
+        yield from pieces(pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array(b[head]), pa.array(np.diff(np.r_[head, len(a)]))], ["a", "b", "shared"]))
 
     found, size = [], 0
     for x, y in pairs:
         found.append((x, y))
         size += len(x)
         if size > most:
-            yield made()
+            yield from made()
             found, size = [], 0
     if found:
-        yield made()
+        yield from made()
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, SHIPPED):
+        yield batch.slice(at, SHIPPED)
 
 
 def matrix_pairs(num: int, den: int, parts: int):
@@ -183,8 +191,10 @@ def matrix_pairs(num: int, den: int, parts: int):
         yield from map(widened, counted(fitting(*(x[~large] for x in rows), num, den)))
         if large.any():
             tokens, gids, *rest = (x[large] for x in rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gids), pa.nulls(len(gids), pa.int64()), pa.nulls(len(gids), pa.int64()), pa.array(tokens.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in rest)], [x.split()[0] for x in FOUND.split(", ")]
+            yield from pieces(
+                pa.RecordBatch.from_arrays(
+                    [pa.array(gids), pa.nulls(len(gids), pa.int64()), pa.nulls(len(gids), pa.int64()), pa.array(tokens.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in rest)], [x.split()[0] for x in FOUND.split(", ")]
+                )
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +270,7 @@ def verified(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int, num
 
 
 def opened_links(docs: DataFrame, labelled: DataFrame, opened: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between members of the opened pairs of groups (a, b): each member of the smaller group
+    """Those of the opened pairs of groups (a, b) of which members link: each member of the smaller group
     is a query to the bins of the larger one."""
     opened = staged(opened, "opened")
     members = labelled.select("gid", "vid")
@@ -268,36 +278,38 @@ def opened_links(docs: DataFrame, labelled: DataFrame, opened: DataFrame, n: int
     sized = opened.join(count.select(F.col("gid").alias("a"), F.col("members").alias("na")), "a").join(count.select(F.col("gid").alias("b"), F.col("members").alias("nb")), "b")
     turned = F.col("na") > F.col("nb")
     asked = sized.select(F.when(turned, F.col("a")).otherwise(F.col("b")).alias("target"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("gid"), F.greatest("na", "nb").alias("members"))
-    queries = asked.join(members, "gid").select("target", "vid", F.ceil(F.col("members") / BIN).alias("bins"))
+    queries = asked.join(members, "gid").select("target", "gid", "vid", F.ceil(F.col("members") / BIN).alias("bins"))
     queries = staged(queries, "queries")
     targets = queries.groupBy("target").agg(F.max("bins").alias("bins"), F.ceil(F.count("*") / QUERIES).alias("copies"))
     held = targets.join(members.withColumnRenamed("gid", "target"), "target")
     bin_ = lambda column, of: F.pmod(F.xxhash64("vid", F.lit(column)), F.col(of)).cast("int").alias(column)
     every = lambda column, of: F.explode(F.sequence(F.lit(0), F.col(of).cast("int") - 1)).alias(column)
-    held = held.select("target", bin_("bin", "bins"), every("copy", "copies"), F.lit(False).alias("query"), "vid")
-    queries = queries.join(targets.select("target", "copies"), "target").select("target", bin_("copy", "copies"), every("bin", "bins"), F.lit(True).alias("query"), "vid")
+    held = held.select("target", bin_("bin", "bins"), every("copy", "copies"), F.lit(False).alias("query"), F.col("target").alias("gid"), "vid")
+    queries = queries.join(targets.select("target", "copies"), "target").select("target", bin_("copy", "copies"), every("bin", "bins"), F.lit(True).alias("query"), "gid", "vid")
     rows = held.unionByName(queries)
     sets = staged(_sets(docs, labelled, rows.select("vid").distinct(), n), "opened-sets")
     full = rows.join(sets, "vid").repartition("target", "bin", "copy").sortWithinPartitions("target", "bin", "copy", "query")
-    links = staged(full.select("target", "bin", "copy", "query", "vid", "set").mapInArrow(tidy(opener(num, den)), "a long, b long"), "opened-links")
+    links = staged(full.select("target", "bin", "copy", "query", "gid", "set").mapInArrow(tidy(opener(num, den)), "a long, b long"), "opened-links")
     unstage(sets)
     return links
 
 
 def opener(num: int, den: int):
-    """Links of queries with the members of a bin: rows come by target, bin and copy, members before queries."""
+    """Groups (a) of queries that link with a member of a bin of a target (b), once for each bin: rows come by target,
+    bin and copy, members before queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, vids, sets, union, owners, begins, sizes = None, [], [], None, None, None, None
+        now, joined, sets, union, owners, begins, sizes = None, set(), [], None, None, None, None
         for batch in batches:
             found: tuple[list, list] = ([], [])
-            columns = [batch.column(c).to_pylist() for c in ("target", "bin", "copy", "query", "vid")]
-            for k, (*key, query, vid) in enumerate(zip(*columns, strict=True)):
+            columns = [batch.column(c).to_pylist() for c in ("target", "bin", "copy", "query", "gid")]
+            for k, (*key, query, gid) in enumerate(zip(*columns, strict=True)):
                 if key != now:
-                    now, vids, sets, union = key, [], [], None
+                    now, joined, sets, union = key, set(), [], None
+                if query and gid in joined:
+                    continue
                 own = np.frombuffer(batch.column("set")[k].as_buffer(), np.uint64)
                 if not query:
-                    vids.append(vid)
                     sets.append(own.copy())
                     continue
                 if union is None:
@@ -316,10 +328,10 @@ def opener(num: int, den: int):
                 length = begins[at + 1] - begins[at]
                 flat = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(begins[at], length)
                 common = np.bincount(owners[flat], minlength=len(sets))
-                linked = np.flatnonzero(den * common >= num * (len(own) + sizes - common))
-                if len(linked):
-                    found[0].append(vid)
-                    found[1].append(vids[linked[0]])
+                if (den * common >= num * (len(own) + sizes - common)).any():
+                    joined.add(gid)
+                    found[0].append(gid)
+                    found[1].append(key[0])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
     return run
@@ -391,10 +403,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     bound = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     least = labelled.groupBy("gid").agg(F.min(1 + F.floor(F.col("n_shingles") / EXTRA)).alias("l"))
     opened = bound.join(least.select(F.col("gid").alias("a"), F.col("l").alias("la")), "a").join(least.select(F.col("gid").alias("b"), F.col("l").alias("lb")), "b").where("shared >= least(la, lb)").select("a", "b")
-    more_links = opened_links(docs, labelled, opened, n, num, den)
-
-    final = components(first_links.unionByName(more_links))
-    rooted = vertices.select("vid", "s2", F.col("doc_id").alias("least_doc")).join(final.withColumnRenamed("v", "vid"), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+    # a group's number is its smallest vertex, so the smallest group that a group reaches is its smallest vertex too
+    final = components(opened_links(docs, labelled, opened, n, num, den))
+    rooted = labelled.select("vid", "gid", "s2", F.col("doc_id").alias("least_doc")).join(final.withColumnRenamed("v", "gid"), "gid", "left").withColumn("root", F.coalesce("root", "gid")).drop("gid")
     # tables that are joined on keys of large components are written first, so that the joins can split these
     rooted = staged(rooted, "rooted")
     least_docs = staged(rooted.groupBy("root").agg(F.min("least_doc").alias("component_id")), "least-docs")

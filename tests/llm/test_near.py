@@ -101,6 +101,41 @@ def test_near_copies_without_ids(spark):
     assert got == {(None, 37, 9), (9, 37, 9), (None, 3, None)}
 
 
+def test_groups_are_not_connected_again(spark, monkeypatch):
+    """The last components get a link for each pair of groups at most in each bin, not all links of documents once more."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(40):
+        own = list(base)
+        own[rng.randrange(len(own))] = f"x{k}"
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+
+    def counting(links):
+        links = staged(links, "counted")
+        seen.append(links.count())
+        return components(links)
+
+    monkeypatch.setattr(jaccard, "components", counting)
+    same(df, 4, 85, 100)
+    assert len(seen) == 2 and seen[0] > 20 and seen[1] < 20
+
+
+def test_pairs_are_shipped_in_pieces():
+    """Counted pairs leave a worker in small batches, and none gets lost."""
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 600, (2, 300_000))
+    got = list(jaccard.counted(iter([(a[:200_000], b[:200_000]), (a[200_000:], b[200_000:])])))
+    assert max(x.num_rows for x in got) <= jaccard.SHIPPED
+    rows = Counter()
+    for x in got:
+        for *pair, n in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            rows[tuple(pair)] += n
+    assert rows == Counter(zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(50)]
