@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quire.functions.geometry import unclipped
+from quire.runtime import staged
 
 
 def component_boxes(pixels: DataFrame) -> DataFrame:
@@ -55,23 +57,37 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     """boxes (page_id, x, y, w, h) with ord from 0: bands from top to bottom, each from left to right.
 
     A band ends where a box's middle is farther from the band's first one than half of the band's
-    greatest height so far: a fold over a page's boxes, one page at a time.
+    greatest height so far. Boxes of one middle are in one band, as heights only let it reach farther: so the
+    fold is over a page's distinct middles, as they stream by, and boxes are numbered band by band. No task
+    holds a page. boxes are read twice; what made them should be staged if it is dear.
     """
-
-    longs = lambda *names: [F.col(n).cast("long").alias(n) for n in names]
-    box = F.struct((F.col("y") + F.floor(F.col("h") / 2)).cast("long").alias("mid"), *longs("x", "y", "w", "h"))
-    pages = boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
-    zero = F.struct(F.lit(0).cast("long").alias("band"), F.lit(None).cast("long").alias("first"), F.lit(1).cast("long").alias("tallest"), F.array().cast("array<bigint>").alias("bands"))
-
-    def step(a: Column, b: Column) -> Column:
-        new = F.coalesce(F.abs(b["mid"] - a["first"]) > F.greatest(F.floor(a["tallest"] / 2), F.lit(1)), F.lit(False))
-        band = a["band"] + F.when(new, 1).otherwise(0)
-        return F.struct(band.alias("band"), F.when(new | a["first"].isNull(), b["mid"]).otherwise(a["first"]).alias("first"), F.greatest(F.when(new, 1).otherwise(a["tallest"]), b["h"]).cast("long").alias("tallest"), F.concat(a["bands"], F.array(band)).alias("bands"))
-
-    bands = F.aggregate("boxes", zero, step, lambda a: a["bands"])
-    ordered = F.array_sort(F.zip_with(bands, "boxes", lambda n, b: F.struct(n.alias("band"), b["x"].alias("x"), b["mid"].alias("mid"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h"))))
-    told = pages.select("page_id", F.posexplode(ordered).alias("ord", "b"))
-    return told.select("page_id", *(F.col(f"b.{c}").cast(boxes.schema[c].dataType).alias(c) for c in ("x", "y", "w", "h")), F.col("ord").cast("long").alias("ord"))
+    order = ("x", "mid", "y", "w", "h")
+    mid = (F.col("y") + F.floor(F.col("h") / 2)).cast("long").alias("mid")
+    longs = boxes.select("page_id", mid, *(F.col(n).cast("long").alias(n) for n in ("x", "y", "w", "h")))
+    middles = longs.groupBy("page_id", "mid").agg(F.max("h").alias("h"), F.count("*").alias("n"))
+    sorted_middles = middles.repartition("page_id").sortWithinPartitions("page_id", "mid").select(F.col("page_id").alias("_page"), F.col("mid").alias("_mid"), "h", "n")
+    made = T.StructType([sorted_middles.schema["_page"], *(T.StructField(n, T.LongType()) for n in ("_mid", "band", "before"))])
+    told = longs.join(sorted_middles.mapInArrow(_bands, made), F.col("page_id").eqNullSafe(F.col("_page")) & F.col("mid").eqNullSafe(F.col("_mid")))
+    place = F.col("before") + F.row_number().over(W.partitionBy("page_id", "band").orderBy(*order)) - 1
+    return told.select("page_id", *(F.col(c).cast(boxes.schema[c].dataType).alias(c) for c in ("x", "y", "w", "h")), place.cast("long").alias("ord"))
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_page, _mid, band and the boxes before that band, of sorted middles (_page, _mid, h: the greatest height, n: boxes)."""
+    page, seen = None, 0
+    for batch in batches:
+        bands, befores = [], []
+        for page_id, mid, h, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not seen or page_id != page:
+                page, seen, band, before, first, tallest = page_id, 0, 0, 0, None, 1
+            elif first is not None and abs(mid - first) > max(tallest // 2, 1):
+                band, before, first, tallest = band + 1, seen, mid, 1
+            first = mid if first is None else first
+            tallest = tallest if h is None else max(tallest, h)
+            seen += n
+            bands.append(band)
+            befores.append(before)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.int64()), pa.array(befores, pa.int64())], ["_page", "_mid", "band", "before"])
 
 
 #: Classes of a vocabulary that may be broadcast.
@@ -146,7 +162,7 @@ def read_pages(images: DataFrame, detect: Callable[[np.ndarray], np.ndarray], re
                         rows += [(page_id, b["ord"], t, int(c), float(made[t, c])) for t, c in enumerate(best)]
                 yield pd.DataFrame(rows, columns=["page_id", "ord", "t", "cls", "prob"])
 
-    found = reading_order(images.mapInPandas(boxes_of, "page_id long, x long, y long, w long, h long"))
+    found = reading_order(staged(images.mapInPandas(boxes_of, "page_id long, x long, y long, w long, h long"), "boxes"))
     boxes = found.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y", "w", "h"))).alias("boxes"))
     steps = images.join(boxes, "page_id").mapInPandas(steps_of, "page_id long, ord long, t long, cls int, prob double")
     lines = ctc_decode(steps.withColumn("line_id", F.struct("page_id", "ord")), vocabulary).select("line_id.*", "text", "score")

@@ -168,6 +168,33 @@ def test_reading_order(spark):
     assert got == [(200, 8), (300, 0), (100, 16), (0, 200)]
 
 
+def test_reading_order_of_large_pages(spark):
+    """The bands of a plain fold, for pages in many batches, equal boxes and nulls; a page is gathered in no list."""
+    rng = np.random.default_rng(5)
+    rows = [(int(p), int(x), int(y), 50, int(h)) for p, x, y, h in zip(rng.integers(0, 3, 3000), rng.integers(0, 40, 3000), rng.integers(0, 900, 3000) * 3, rng.integers(-2, 25, 3000), strict=True)]
+    rows += [(0, 7, 30, 50, 19)] * 5 + [(0, 4, None, 50, 90), (1, 5, 60, 50, None), (1, None, 60, 50, 30), (None, 1, 2, 3, 4), (None, 1, 500, 3, 4), (4, 1, None, 1, 1)]
+    want, low = [], lambda key: tuple((v is not None, v or 0) for v in key)
+    for page in {r[0] for r in rows}:
+        boxes = [(None if None in (y, h) else y + h // 2, x, y, w, h) for p, x, y, w, h in rows if p == page]
+        band, first, tallest, told = 0, None, 1, []
+        for mid, x, y, w, h in sorted(boxes, key=low):
+            if first is not None and abs(mid - first) > max(tallest // 2, 1):
+                band, first, tallest = band + 1, mid, 1
+            first, tallest = mid if first is None else first, max(tallest, h or 0)
+            told.append((band, x, mid, y, w, h))
+        want += [(page, x, y, w, h, i) for i, (_, x, _, y, w, h) in enumerate(sorted(told, key=low))]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 100)
+    try:
+        got = ocr.reading_order(spark.createDataFrame(rows, "page_id long, x int, y int, w int, h int"))
+        assert sorted(map(tuple, got.collect()), key=low) == sorted(want, key=low)
+    finally:
+        spark.conf.set(size, before)
+    assert got.dtypes == [("page_id", "bigint"), ("x", "int"), ("y", "int"), ("w", "int"), ("h", "int"), ("ord", "bigint")]
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_components():
     import numpy as np
 
