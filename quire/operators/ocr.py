@@ -28,29 +28,81 @@ def text_boxes(boxes: DataFrame, w: int, h: int, least: int = 3, threshold: floa
 
 
 def label_components(mask: np.ndarray) -> np.ndarray:
-    """Labels from 1 of the 8-connected parts of a mask that was grown by one pixel."""
+    """Labels from 1 of the 8-connected parts of a mask that was grown by one pixel, in the order of their last pixels."""
+    grown = _grown(mask.astype(bool))
+    starts, ends, last = _runs(grown)
+    labels = np.zeros(mask.shape, np.int64)
+    labels[grown] = np.repeat(np.unique(last, return_inverse=True)[1] + 1, ends - starts)
+    return labels
+
+
+def _grown(mask: np.ndarray) -> np.ndarray:
+    wide = mask.copy()
+    wide[:, 1:] |= mask[:, :-1]
+    wide[:, :-1] |= mask[:, 1:]
+    grown = wide.copy()
+    grown[1:] |= wide[:-1]
+    grown[:-1] |= wide[1:]
+    return grown
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the runs of a mask's rows start and end (in rows longer by one blank pixel), and the last run of each one's 8-connected part.
+
+    Runs are linked with those they touch in the row before. Roots are hung to higher ones until no link is left between
+    roots: two rounds at least halve the roots of a part, so the work is nearly linear, however long or wound a part is.
+    """
     rows, cols = mask.shape
-    padded = np.pad(mask.astype(bool), 1)
-    grown = np.zeros_like(mask, bool)
-    for i in range(3):
-        for j in range(3):
-            grown |= padded[i : i + rows, j : j + cols]
-    labels = np.where(grown, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        around = np.pad(labels, 1)
-        best = np.max([around[i : i + rows, j : j + cols] for i in range(3) for j in range(3)], axis=0)
-        best = np.where(grown, best, 0)
-        if (best == labels).all():
-            break
-        labels = best
-    kinds = np.unique(labels[labels > 0])
-    return np.where(labels > 0, np.searchsorted(kinds, labels) + 1, 0)
+    flat = np.zeros(rows * (cols + 1) + 1, bool)
+    flat[1:].reshape(rows, cols + 1)[:, :cols] = mask
+    starts, ends = np.flatnonzero(flat[1:] != flat[:-1]).reshape(-1, 2).T
+    low, high = np.searchsorted(ends + cols + 1, starts, "left"), np.searchsorted(starts + cols + 1, ends, "right")
+    n = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(starts)), n)
+    b = np.arange(len(a)) + np.repeat(low - (np.cumsum(n) - n), n)
+    root = np.arange(len(starts))
+    while len(a):
+        np.maximum.at(root, np.minimum(a, b), np.maximum(a, b))
+        while not np.array_equal(root, above := root[root]):
+            root = above
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return starts, ends, root
+
+
+#: Pixels of images that are counted in one go; a larger image is one of its own.
+PIXELS_AT_ONCE = 1 << 22
 
 
 @F.pandas_udf(T.LongType())
 def count_components(grey: pd.Series, width: pd.Series, threshold: pd.Series) -> pd.Series:
-    """How many connected parts the bright pixels of grey images (a byte a pixel; a last row that isn't full is left) have."""
-    return pd.Series([int(label_components(np.frombuffer(g, np.uint8, len(g) // w * w).reshape(-1, w) > t).max(initial=0)) for g, w, t in zip(grey, width, threshold, strict=True)])
+    """How many connected parts the bright pixels of grey images (a byte a pixel; a last row that isn't full is left) have.
+    Images of one width are laid below each other, with a blank row after each."""
+    counts = np.zeros(len(grey), np.int64)
+    images, widths, thresholds = grey.tolist(), width.tolist(), threshold.tolist()
+
+    def count(some: list[int], w: int) -> None:
+        gaps = np.cumsum([len(images[i]) // w + 1 for i in some]) - 1
+        mask, top = np.zeros((gaps[-1] + 1, w), bool), 0
+        for i, gap in zip(some, gaps, strict=True):
+            mask[top:gap] = np.frombuffer(images[i], np.uint8, (gap - top) * w).reshape(-1, w) > thresholds[i]
+            top = gap + 1
+        grown = _grown(mask)
+        grown[gaps] = False
+        starts, _, last = _runs(grown)
+        kept = starts[last == np.arange(len(last))] // (w + 1)
+        counts[some] = np.bincount(np.searchsorted(gaps, kept), minlength=len(some))
+
+    some, pixels = [], 0
+    for i in sorted(range(len(images)), key=widths.__getitem__):
+        if some and (widths[i] != widths[some[0]] or pixels + len(images[i]) > PIXELS_AT_ONCE):
+            count(some, widths[some[0]])
+            some, pixels = [], 0
+        some.append(i)
+        pixels += len(images[i])
+    if some:
+        count(some, widths[some[0]])
+    return pd.Series(counts)
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:

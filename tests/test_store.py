@@ -4,6 +4,7 @@ import os
 import time
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quire.config import Settings, load
@@ -204,6 +205,44 @@ def test_components():
     assert labels.max() == 2 and labels[1, 1] == labels[1, 4] != labels[6, 9] and labels[0, 11] == 0
 
 
+def test_components_of_wound_masks(monkeypatch):
+    """Labels and counts of plain flooding, ordered by a part's last pixel; a wound or long part takes few rounds over all pixels."""
+
+    def flooded(mask):
+        h, w = mask.shape
+        grown = {(i, j) for y, x in np.argwhere(mask).tolist() for i in range(max(y - 1, 0), min(y + 2, h)) for j in range(max(x - 1, 0), min(x + 2, w))}
+        labels, kinds = np.zeros(mask.shape, int), []
+        while grown:
+            part, stack = [], [grown.pop()]
+            while stack:
+                y, x = stack.pop()
+                part.append((y, x))
+                near = {(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & grown
+                grown -= near
+                stack += near
+            kinds.append(part)
+        for k, part in enumerate(sorted(kinds, key=max), 1):
+            labels[tuple(np.array(part).T)] = k
+        return labels
+
+    rng, wound = np.random.default_rng(3), np.zeros((400, 32), bool)
+    wound[::4] = True
+    wound[np.arange(0, 400, 4)[:, None] + np.arange(4), np.tile([[0], [31]], (50, 1))] = True
+    masks = [rng.random((h, w)) < p for h, w in ((40, 32), (1, 9), (9, 1), (25, 40), (0, 5)) for p in (0.02, 0.06, 0.1, 0.5, 1.0)] + [wound, wound[:, ::-1], wound[::-1]]
+    for mask in masks:
+        assert (ocr.label_components(mask) == flooded(mask)).all()
+    for at_once in (1, 2000, ocr.PIXELS_AT_ONCE):
+        monkeypatch.setattr(ocr, "PIXELS_AT_ONCE", at_once)
+        grey = pd.Series([(m * np.uint8(200)).tobytes() + b"\xff" * (m.shape[1] - 1) for m in masks])
+        got = ocr.count_components.func(grey, pd.Series([m.shape[1] for m in masks]), pd.Series([110] * len(masks)))
+        assert got.tolist() == [int(flooded(m).max(initial=0)) for m in masks]
+    rounds = []
+    for name in ("array_equal", "max"):
+        monkeypatch.setattr(np, name, lambda *a, f=getattr(np, name), **k: rounds.append(1) or f(*a, **k))
+    ocr.label_components(wound)
+    assert len(rounds) < 100
+
+
 def test_percentiles(spark):
     rows = spark.createDataFrame([("a", x) for x in (10, 20, 30, 40, 100)], "k string, v long")
     r = nearest_rank(rows, ["k"], "v", {"p50": 0.5, "p95": 0.95}).first()
